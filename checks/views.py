@@ -84,7 +84,7 @@ VIEWS = {
                CAST(NULL AS VARCHAR) AS description, [lang, source] AS terms
         FROM documents""",
     "lg_requests": """
-        SELECT event_id AS request_id, epoch_ms(ts) AS ts,
+        SELECT event_id AS request_id, epoch_us(ts) // 1000 AS ts,
                'https://u' || user_id || '.example/' || event_type || '?k='
                    || json_extract_string(props, '$.k') AS uri,
                CASE WHEN event_id % 11 = 0 THEN 'https://u' || (user_id + 1) || '.example'

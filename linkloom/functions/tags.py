@@ -47,13 +47,13 @@ def is_valid_tag(col: Column | str) -> Column:
 
 def extract_tags(tags: Column | str) -> Column:
     """Trimmed non-empty tags, NULL when none is left."""
-    kept = F.filter(F.transform(_c(tags), F.trim), lambda t: t != "")
+    kept = F.filter(F.transform(_c(tags), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(F.size(kept) > 0, kept)
 
 
 def split_terms(col: Column | str) -> Column:
     """Comma list of an attribute → trimmed, non-empty terms."""
-    parts = F.transform(F.split(_c(col), ","), F.trim)
+    parts = F.transform(F.split(_c(col), ","), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 
