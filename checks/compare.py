@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import threading
 import time
 
 import duckdb
@@ -65,8 +66,8 @@ def compare(spark, db, name, folder) -> tuple[bool, str]:
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        lack = [r for r in want if r not in set(got)][:2]
+        extra = sorted(set(got) - set(want))[:2]
+        lack = sorted(set(want) - set(got))[:2]
         return False, f"{len(got)} rows vs {len(want)}\n   spark only {extra}\n   sql only   {lack}"
     return True, f"{len(got)} rows, {took:.1f}s"
 
@@ -75,6 +76,7 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("folder", nargs="?", default="/root/testdata/sf0.01")
     ap.add_argument("--only", default="")
+    ap.add_argument("--limit", type=float, default=60, help="seconds before a query's jobs are cancelled")
     args = ap.parse_args()
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -82,10 +84,16 @@ def main() -> int:
     bad = []
     names = [n for n in registry.queries() if any(p in n for p in args.only.split(","))]
     for name in names:
+        watch = threading.Timer(args.limit, spark.sparkContext.cancelAllJobs)
+        watch.start()
+        started = time.time()
         try:
             good, note = compare(spark, db, name, args.folder)
         except Exception as e:  # report every failure, then go on
             good, note = False, f"{type(e).__name__}: {str(e)[:600]}"
+        watch.cancel()
+        if time.time() - started > 8:
+            print("SLOW ", name, f"{time.time() - started:.0f}s", flush=True)
         if not good or "0 rows" == note[:6]:
             print(("BAD  " if not good else "EMPTY"), name, note, flush=True)
         if not good:
