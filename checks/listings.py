@@ -290,11 +290,11 @@ def _(spark, d):
 
 @check(
     "ingest_w23_endorsed",
-    """WITH pairs AS (SELECT DISTINCT 'https://s' || s_suppkey || '.example/p/1' AS src,
+    """WITH asked AS (SELECT DISTINCT 'https://s' || s_suppkey || '.example/p/1' AS src,
          'https://s' || (s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 2 - s_suppkey % 3 END) || '.example/' AS dst FROM supplier)
        SELECT src, dst, so = dor OR (dor, so) IN (SELECT (src_origin, dst_origin) FROM lg_endorsements)
          OR (dst, src) IN (SELECT (src, dst) FROM lg_edges) AS endorsed
-       FROM (SELECT *, regexp_extract(src, '^https://[^/]+') AS so, regexp_extract(dst, '^https://[^/]+') AS dor FROM pairs)""",
+       FROM (SELECT *, regexp_extract(src, '^https://[^/]+') AS so, regexp_extract(dst, '^https://[^/]+') AS dor FROM asked)""",
 )
 def _(spark, d):
     k = F.col("s_suppkey")

@@ -123,7 +123,8 @@ def _(spark, d):
 @check(
     "sink_k09_short_posts",
     f"""SELECT concat_ws(chr(10) || chr(10), title, description, id, '#' || replace(tags, ',', ' #')) AS text, tags,
-        octet_length(encode(concat_ws(chr(10) || chr(10), title, description))) + 2 AS link_at FROM {_BRAND_HEADS}""",
+        octet_length(encode(concat_ws(chr(10) || chr(10), title, description))) + 2 AS link_at
+        FROM (SELECT * REPLACE (array_to_string(string_split(tags, ',')[:8], ',') AS tags) FROM {_BRAND_HEADS})""",
 )
 def _(spark, d):
     posts = Publishers(INSTANCE).get("bluesky").publish(brand_objects(spark, d))

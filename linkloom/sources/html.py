@@ -1,2 +1,254 @@
-def harvest_html(*a, **k):
-    raise NotImplementedError
+"""Harvest of HTML pages: one reading per page, then native columns.
+
+Python only reads the page and reports what each rule's selector found. Filters,
+transforms, fallbacks and the assembly of tags and links are column expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from linkloom import vocabulary as V
+from linkloom.functions.tags import split_terms
+from linkloom.functions.urls import is_url, origin
+from linkloom.sources.selectors import PageReader, parse_selector
+from linkloom.sources.values import keep_values, processed
+
+HITS = "array<struct<rule:int,el:int,value:string,terms:string>>"
+TEXTS = "array<string>"
+FOUND = "array<struct<uri:string,terms:array<string>>>"
+LINKS = "array<struct<type:string,uri:string,terms:array<string>>>"
+
+_HIT = pa.list_(
+    pa.struct([("rule", pa.int32()), ("el", pa.int32()), ("value", pa.string()), ("terms", pa.string())])
+)
+
+
+def read_pages(
+    pages: DataFrame, rules: Sequence[Mapping[str, Any]], url: str = "url", html: str = "html"
+) -> DataFrame:
+    """(url, html) → (url, hits): what each rule's selector found, in document order."""
+    compiled = [
+        (parse_selector(r["selector"]), r["attribute"], (r.get("terms") or {}).get("attribute")) for r in rules
+    ]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [
+                [dict(zip(("rule", "el", "value", "terms"), h)) for h in PageReader(compiled).read(text or "")]
+                for text in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, _HIT)], names=["url", "hits"])
+
+    source = pages.select(F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    return source.mapInArrow(read, f"url string, hits {HITS}")
+
+
+class _Rules:
+    """The selector rules of a schema, numbered in the order they are met."""
+
+    def __init__(self):
+        self.selectors: list[Mapping[str, Any]] = []
+
+    def values(self, rules: Sequence[Any] | Any) -> Column:
+        """Values of a list of rules as (uri, terms) structs."""
+        out = F.array().cast(FOUND)
+        for rule in rules if isinstance(rules, (list, tuple)) else [rules]:
+            out = F.concat(out, self._one(rule))
+        return out
+
+    def _one(self, rule: Mapping[str, Any] | str) -> Column:
+        if isinstance(rule, str):
+            literal = F.struct(F.lit(rule).alias("uri"), F.lit(None).cast(TEXTS).alias("terms"))
+            return F.array(literal).cast(FOUND)
+        number = len(self.selectors)
+        self.selectors.append(rule)
+        mine = F.filter("hits", lambda h: h["rule"] == number)
+        found = F.transform(
+            mine,
+            lambda h: F.struct(
+                F.rtrim(h["value"], F.lit("/")).alias("uri"), split_terms(h["terms"]).alias("terms")
+            ),
+        ).cast(FOUND)
+        if rule.get("filterResults"):
+            found = keep_values(found, rule["filterResults"], lambda v: v["uri"])
+        if rule.get("postProcess"):
+            step = rule["postProcess"]
+            found = F.flatten(
+                F.transform(
+                    found,
+                    lambda v: F.transform(
+                        processed(v["uri"], step), lambda u: F.struct(u.alias("uri"), v["terms"].alias("terms"))
+                    ),
+                )
+            )
+        if rule.get("trim"):
+            found = F.transform(found, lambda v: F.struct(F.trim(v["uri"]).alias("uri"), v["terms"].alias("terms")))
+        return found
+
+
+def _first_text(found: Column) -> Column:
+    """First non-empty value of the fallback rules."""
+    texts = F.filter(F.transform(found, lambda v: v["uri"]), lambda u: F.trim(u) != "")
+    return F.try_element_at(texts, F.lit(1))
+
+
+def _typed(found: Column, section: str) -> Column:
+    return F.transform(
+        found,
+        lambda v: F.struct(
+            F.lit(section).alias("type"),
+            v["uri"].alias("uri"),
+            F.when(F.size(v["terms"]) > 0, v["terms"]).alias("terms"),
+        ),
+    )
+
+
+def nested(fields: Mapping[str, Column]) -> list[Column]:
+    """Dotted names become structs: {'a.b': x, 'a.c': y} → a: {b: x, c: y}."""
+    tree: dict[str, Any] = {}
+    for path, col in fields.items():
+        *parents, last = path.split(".")
+        node = tree
+        for name in parents:
+            node = node.setdefault(name, {})
+        node[last] = col
+
+    def build(name: str, node: Any) -> Column:
+        if isinstance(node, dict):
+            return F.struct(*[build(k, v) for k, v in node.items()]).alias(name)
+        return node.alias(name)
+
+    return [build(k, v) for k, v in tree.items()]
+
+
+def harvest_html(
+    pages: DataFrame, schema: Mapping[str, Any], url: str = "url", html: str = "html"
+) -> DataFrame:
+    """(url, html) → id, subject fields, document_record, tags and typed links.
+
+    Duplicates in a page's links are kept here; ingest removes them.
+    """
+    schema = schema.get("schema", schema)
+    rules = _Rules()
+    fields: dict[str, Column] = {}
+    records: list[Column] = []
+    tags = F.array().cast(TEXTS)
+    links = F.array().cast(LINKS)
+    subject_id = F.lit("source")
+    for section, body in schema.items():
+        if section in ("subject", "documentRecord"):
+            for prop, prop_rules in body.items():
+                if prop == "s":
+                    if section == "subject":
+                        subject_id = _first_text(rules.values(prop_rules))
+                    continue
+                found = rules.values(prop_rules)
+                if section == "subject":
+                    fields[prop] = _first_text(found)
+                else:
+                    records += [F.lit(prop), F.transform(found, lambda v: v["uri"])]
+            continue
+        found = F.filter(rules.values(body["o"]), lambda v: v["uri"] != "")
+        if section == "hashtag":
+            tags = F.transform(found, lambda v: v["uri"])
+        else:
+            links = F.concat(links, _typed(found, section))
+    hits = read_pages(pages, rules.selectors, url, html)
+    record = F.create_map(*records) if records else F.lit(None).cast(f"map<string,{TEXTS}>")
+    page_id = F.when(F.coalesce(subject_id, F.lit("source")) == "source", F.col("url")).otherwise(subject_id)
+    return hits.select(
+        "url",
+        page_id.alias("id"),
+        *nested(fields),
+        record.alias("document_record"),
+        tags.alias("tags"),
+        links.alias("links"),
+    )
+
+
+# --- opt-in ------------------------------------------------------------------------
+
+
+def opted_in(df: DataFrame, instance: str, strict: bool = False) -> Column:
+    """Has a harvested page agreed to be indexed.
+
+    Any policy but no-index, or any annotation, is enough; ``strict`` wants the policy
+    ``index`` or an index server on this instance.
+    """
+    policy = F.coalesce("indexPolicy", F.lit(""))
+    if strict:
+        servers = F.transform(F.split(F.coalesce("indexServer", F.lit("")), ","), lambda s: F.trim(s))
+        here = F.exists(servers, lambda s: F.coalesce(origin(s) == origin(F.lit(instance)), F.lit(False)))
+        return (policy == "index") | here
+    annotated = (F.size("tags") > 0) | (F.size("links") > 0)
+    return ((policy != "") & (policy != "no-index")) | annotated
+
+
+def marker_scan(pages: DataFrame, marker: str, url: str = "url", html: str = "html") -> DataFrame:
+    """Does a page show the marker in a meta tag and not forbid both following and indexing."""
+    rules = [
+        {"selector": "meta[content]", "attribute": "content"},
+        {"selector": "meta[name='robots']", "attribute": "content"},
+    ]
+    shown = F.exists("hits", lambda h: (h["rule"] == 0) & (h["value"] == marker))
+    forbids = F.exists(
+        "hits",
+        lambda h: (h["rule"] == 1)
+        & F.lower(h["value"]).contains("nofollow")
+        & F.lower(h["value"]).contains("noindex"),
+    )
+    return read_pages(pages, rules, url, html).select("url", (shown & ~forbids).alias("passes"))
+
+
+# --- statements in the markup --------------------------------------------------------
+
+
+def page_statements(pages: DataFrame, instance: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(subject, predicate, object) rows of annotated links and of [about] nodes.
+
+    A relative object is read against the instance; every other subject named on a page
+    is also asserted by the page.
+    """
+    rules = [
+        {"selector": f"[rel='{V.REL_TERM}']", "attribute": "textContent", "terms": {"attribute": "href"}},
+        {"selector": "[about]", "attribute": "about", "terms": {"attribute": "rel"}},
+        {"selector": "[about]", "attribute": "textContent", "terms": {"attribute": "href"}},
+    ]
+    hits = read_pages(pages, rules, url, html)
+    named = hits.select("url", F.explode("hits").alias("h")).select("url", "h.*")
+
+    def target() -> Column:
+        raw = F.coalesce(F.when(F.col("terms") != "", F.col("terms")), F.trim("value"))
+        return (
+            F.when(is_url(raw), raw)
+            .when(F.startswith(raw, F.lit("/")), F.concat(F.lit(instance), F.substring(raw, F.lit(2), F.length(raw))))
+            .otherwise(F.concat(F.lit(instance + V.TERM_PATH), raw))
+        )
+
+    own = named.filter("rule = 0").select(
+        F.col("url").alias("subject"), F.lit(V.REL_TERM).alias("predicate"), target().alias("object")
+    )
+    # the two facts about one [about] element meet on its number
+    pair = named.filter("rule > 0").withColumn("object", target()).groupBy("url", "el").agg(
+        F.max(F.when(F.col("rule") == 1, F.struct("value", "terms"))).alias("about"),
+        F.max(F.when(F.col("rule") == 2, F.col("object"))).alias("object"),
+    )
+    other = pair.select(F.col("about.value").alias("subject"), F.col("about.terms").alias("predicate"), "object")
+    asserted = pair.select(
+        F.col("url").alias("subject"), F.lit(V.ASSERTS).alias("predicate"), F.col("about.value").alias("object")
+    ).distinct()
+    return own.unionByName(other).unionByName(asserted)
+
+
+def bookmark_graph(harvested: DataFrame) -> DataFrame:
+    """Bookmarks of each harvested page with their terms."""
+    links = harvested.select("id", F.explode("links").alias("link"))
+    return links.filter(F.col("link.type") == "bookmark").select(
+        F.col("id").alias("page"), F.col("link.uri").alias("url"), F.col("link.terms").alias("terms")
+    )

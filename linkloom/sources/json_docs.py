@@ -47,6 +47,13 @@ def rule_values(doc: Column, rules: Any) -> Column:
     return values
 
 
+def _typed(found: Column, section: str) -> Column:
+    no_terms = F.lit(None).cast(NO_VALUES)
+    return F.transform(
+        found, lambda v: F.struct(F.lit(section).alias("type"), v.alias("uri"), no_terms.alias("terms"))
+    )
+
+
 def harvest_json(docs: DataFrame, schema: Mapping[str, Any], url: str = "url", body: str = "body") -> DataFrame:
     """(url, body) → id, subject texts, tags and typed links."""
     schema = schema.get("schema", schema)
@@ -71,13 +78,5 @@ def harvest_json(docs: DataFrame, schema: Mapping[str, Any], url: str = "url", b
         if section == "hashtag":
             tags = found
         else:
-            links = F.concat(
-                links,
-                F.transform(
-                    found,
-                    lambda v, s=section: F.struct(
-                        F.lit(s).alias("type"), v.alias("uri"), F.lit(None).cast(NO_VALUES).alias("terms")
-                    ),
-                ),
-            )
+            links = F.concat(links, _typed(found, section))
     return read.select(*columns, tags.alias("tags"), links.alias("links"))
