@@ -1 +1,287 @@
-"""Registered queries."""
+"""Ingest of harvested order pages into the graph tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.registry import check
+from linkloom.functions.urls import origin
+from linkloom.operators import ingest
+from linkloom.sources.shop_graph import INSTANCE, order_uri, read, shop_graph
+
+NOW = 1_700_000_000_000
+_B = "'Brand' || (l_partkey % 40)"
+
+
+def harvested(spark, d):
+    """One harvested page per order: a tag and a typed link per line, some links repeated."""
+    part = F.col("l_partkey").cast("string")
+    lines = read(spark, d, "lineitem").join(
+        read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"),
+        F.col("l_orderkey") == F.col("o_orderkey"),
+    )
+    link = F.struct(
+        "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", "bookmark").when(F.col("l_returnflag") == "A", "cite")
+        .otherwise("link").alias("type"),
+        F.concat(F.lit("https://new.example/"), (F.col("l_partkey") % 500).cast("string"), F.lit("/")).alias("uri"),
+        F.array(F.concat(F.lit("size"), (F.col("l_partkey") % 7).cast("string"))).alias("terms"),
+    )
+    tag = F.concat(F.lit("Brand"), (F.col("l_partkey") % 40).cast("string"))
+    pages = lines.groupBy(order_uri().alias("id"), "o_orderstatus", "o_orderdate").agg(
+        F.collect_list(tag).alias("tags"), F.array_sort(F.collect_list(link)).alias("links")
+    )
+    return pages.select(
+        "id",
+        F.concat(F.lit("  title "), "o_orderstatus").alias("title"),
+        F.lit("  ").alias("description"),
+        F.lit(None).cast("string").alias("image"),
+        F.when(F.col("o_orderstatus") == "P", "not a date")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("postDate"),
+        "tags",
+        F.transform(
+            "links", lambda x: F.struct(x["type"].alias("type"), x["uri"].alias("uri"), x["terms"].alias("terms"))
+        ).alias("links"),
+    )
+
+
+def gained(spark, d, table):
+    return ingest.ingest(shop_graph(spark, d), harvested(spark, d), NOW)[table]
+
+
+# every line as an annotation
+_LINES = """lines AS (SELECT 'https://c' || o_custkey || '.example/o/' || o_orderkey AS src, l_linenumber AS pos,
+    'Brand' || (l_partkey % 40) AS tag, 'https://new.example/' || (l_partkey % 500) AS dst,
+    'size' || (l_partkey % 7) AS term,
+    CASE l_returnflag WHEN 'R' THEN 'Bookmark' WHEN 'A' THEN 'Cite' ELSE 'Link' END AS subtype
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_TERM = "'https://lg.example/~/' || "
+
+
+@check(
+    "ingest_w01_annotations",
+    f"""WITH {_LINES} SELECT src, 'tag' AS kind, tag AS dst, count(*) AS n FROM lines GROUP BY ALL
+        UNION ALL SELECT src, 'mention', dst, count(*) FROM lines GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = ingest.annotation_rows(harvested(spark, d))
+    return rows.groupBy("src", "kind", "dst").agg(F.count("*").alias("n"))
+
+
+@check("ingest_w02_source_id", "SELECT page_id, url AS v FROM pages")
+def _(spark, d):
+    from linkloom.sources.html import harvest_html
+
+    found = harvest_html(read(spark, d, "pages"), {"subject": {"s": "source"}})
+    return read(spark, d, "pages").join(found, "url").select("page_id", F.col("id").alias("v"))
+
+
+@check(
+    "ingest_w03_exact_annotations",
+    f"""WITH {_LINES} SELECT DISTINCT src, 'tag' AS kind, tag AS dst, 'hashtag' AS type FROM lines
+        UNION ALL SELECT DISTINCT src, 'mention', dst, lower(subtype) FROM lines""",
+)
+def _(spark, d):
+    rows = ingest.exact_annotations(ingest.annotation_rows(harvested(spark, d)))
+    return rows.select("src", "kind", "dst", "type")
+
+
+@check(
+    "ingest_w04_new_terms",
+    f"""WITH {_LINES} SELECT term_uri, split_part(term_uri, '~/', 2) AS term, CAST({NOW} AS BIGINT) AS created FROM (
+        SELECT DISTINCT {_TERM} tag AS term_uri FROM lines UNION SELECT {_TERM} term FROM lines)
+        WHERE term_uri NOT IN (SELECT term_uri FROM lg_terms)""",
+)
+def _(spark, d):
+    return gained(spark, d, "terms")
+
+
+_NEW_TAGS = f"""SELECT src, {_TERM} tag AS dst FROM lines EXCEPT SELECT src, dst FROM lg_edges"""
+_NEW_PAIRS = "SELECT src, dst FROM lines EXCEPT SELECT src, dst FROM lg_edges"
+
+
+@check("ingest_w05_new_term_edges", f"WITH {_LINES} {_NEW_TAGS}")
+def _(spark, d):
+    return gained(spark, d, "edges").filter("kind = 'term'").select("src", "dst")
+
+
+@check(
+    "ingest_w05_term_usage",
+    f"""WITH {_LINES} SELECT term_uri, count(*) AS n FROM (SELECT dst AS term_uri FROM ({_NEW_TAGS})
+        UNION ALL SELECT {_TERM} term FROM (SELECT DISTINCT src, dst, term FROM lines)) GROUP BY term_uri""",
+)
+def _(spark, d):
+    return gained(spark, d, "term_usage").groupBy("term_uri").agg(F.count("*").alias("n"))
+
+
+@check(
+    "ingest_w06_merged_targets",
+    f"""WITH {_LINES} SELECT src, dst, min_by(subtype, pos || lower(subtype)) AS subtype,
+        array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM lines GROUP BY src, dst""",
+)
+def _(spark, d):
+    pairs = ingest.mentions(ingest.annotation_rows(harvested(spark, d)))
+    return pairs.select("src", "dst", "subtype", F.array_join("terms", ",").alias("terms"))
+
+
+@check("ingest_w07_new_page_edges", f"WITH {_LINES} {_NEW_PAIRS}")
+def _(spark, d):
+    return gained(spark, d, "edges").filter("kind = 'page'").select("src", "dst")
+
+
+@check(
+    "ingest_w08_new_relations",
+    f"""WITH {_LINES} SELECT src, dst, min_by(subtype, pos || lower(subtype)) AS subtype FROM lines
+        WHERE (src, dst) NOT IN (SELECT (src, dst) FROM lg_relations) GROUP BY src, dst""",
+)
+def _(spark, d):
+    return gained(spark, d, "relations").select("src", "dst", "subtype")
+
+
+_PAGES_AFTER = f"""WITH {_LINES}, old AS (SELECT * FROM lg_pages),
+    fresh AS (SELECT DISTINCT src AS uri FROM lines)
+    SELECT uri, coalesce(created, {NOW}) AS created, CASE WHEN f THEN {NOW} ELSE indexed END AS indexed,
+      CASE WHEN f THEN coalesce(post, post_date) ELSE post_date END AS post_date,
+      CASE WHEN f THEN 'title ' || st ELSE title END AS title, description, self_indexed OR f AS self_indexed
+    FROM (SELECT uri, created, indexed, post_date, title, description, coalesce(self_indexed, false) AS self_indexed,
+            f.uri IS NOT NULL AS f, st, post
+          FROM old FULL JOIN fresh f USING (uri)
+          LEFT JOIN (SELECT 'https://c' || o_custkey || '.example/o/' || o_orderkey AS uri, o_orderstatus AS st,
+            CASE WHEN o_orderstatus <> 'P' THEN epoch_ms(o_orderdate) END AS post FROM orders) USING (uri))
+    UNION ALL SELECT DISTINCT dst, CAST({NOW} AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+      CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), FALSE FROM lines"""
+
+
+@check("ingest_w09_w13_pages_after", _PAGES_AFTER)
+def _(spark, d):
+    g = shop_graph(spark, d)
+    after = ingest.apply(g, {"pages": gained(spark, d, "pages")})
+    return after.pages.select("uri", "created", "indexed", "post_date", "title", "description", "self_indexed")
+
+
+@check(
+    "win_n05_latest_value",
+    """SELECT user_id, max_by(event_type, struct_pack(t := ts, i := event_id)) AS title, max(event_id) AS created
+       FROM events GROUP BY user_id""",
+)
+def _(spark, d):
+    null = F.lit(None).cast("string")
+    log = read(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("uri"),
+        (-F.col("event_id")).alias("created"),
+        F.lit(None).cast("bigint").alias("indexed"),
+        F.lit(None).cast("bigint").alias("post_date"),
+        F.col("event_type").alias("title"),
+        null.alias("description"),
+        null.alias("image"),
+        F.lit(True).alias("self_indexed"),
+        F.col("event_id").alias("ts"),
+    )
+    return ingest.latest_pages(log).select(
+        F.col("uri").cast("bigint").alias("user_id"), "title", (-F.col("created")).alias("created")
+    )
+
+
+@check(
+    "ingest_w10_new_origin_pages",
+    f"""WITH {_LINES} SELECT DISTINCT regexp_extract(src, '^https://[^/]+') AS origin, src AS page FROM lines
+        WHERE src NOT IN (SELECT page FROM lg_origin_pages WHERE page LIKE '%7')""",
+)
+def _(spark, d):
+    g = shop_graph(spark, d)
+    g = g.with_tables(origin_pages=g.origin_pages.filter(F.col("page").endswith("7")))
+    g = g.with_tables(edges=g.edges.limit(0))
+    return ingest.ingest(g, harvested(spark, d), NOW)["origin_pages"]
+
+
+@check(
+    "ingest_w14_existing",
+    "SELECT l_orderkey, uri FROM (SELECT l_orderkey, 'https://s' || l_suppkey || '.example/p/' || (l_partkey + l_linenumber) AS uri FROM lineitem) WHERE uri IN (SELECT uri FROM lg_pages)",
+)
+def _(spark, d):
+    k = (F.col("l_partkey") + F.col("l_linenumber")).cast("string")
+    asked = read(spark, d, "lineitem").select(
+        "l_orderkey",
+        F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example/p/"), k).alias("uri"),
+    )
+    return ingest.existing(asked, shop_graph(spark, d).pages, ["uri"]).select("l_orderkey", "uri")
+
+
+@check(
+    "ingest_w15_existence_by_table",
+    f"""WITH {_LINES} SELECT 'term' AS what, count(*) AS n FROM (SELECT DISTINCT {_TERM} tag AS t FROM lines)
+          WHERE t IN (SELECT term_uri FROM lg_terms)
+        UNION ALL SELECT 'page', count(*) FROM (SELECT DISTINCT src FROM lines) WHERE src IN (SELECT uri FROM lg_pages)
+        UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT src, {_TERM} tag AS dst FROM lines)
+          WHERE (src, dst) IN (SELECT (src, dst) FROM lg_edges)""",
+)
+def _(spark, d):
+    g = shop_graph(spark, d)
+    edges = ingest.tag_edges(ingest.annotation_rows(harvested(spark, d)), INSTANCE, F.lit(NOW))
+    found = {
+        "term": ingest.existing(edges.select(F.col("dst").alias("term_uri")).distinct(), g.terms, ["term_uri"]),
+        "page": ingest.existing(edges.select(F.col("src").alias("uri")).distinct(), g.pages, ["uri"]),
+        "edge": ingest.existing(edges, g.edges, ["src", "dst"]),
+    }
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@check(
+    "ingest_w18_new_rings",
+    "SELECT 'https://c' || o_custkey || '.example/o/' || o_orderkey AS ring FROM orders WHERE o_orderstatus = 'P'",
+)
+def _(spark, d):
+    empty = F.array().cast("array<string>")
+    pages = read(spark, d, "orders").select(
+        order_uri().alias("id"),
+        F.when(F.col("o_orderstatus") == "P", "Webring").alias("type"),
+        empty.alias("tags"),
+        F.array().cast("array<struct<type:string,uri:string,terms:array<string>>>").alias("links"),
+    )
+    return ingest.ingest(shop_graph(spark, d), pages, NOW)["rings"].select("ring")
+
+
+@check(
+    "ingest_w20_pages_mentioning",
+    "SELECT DISTINCT src FROM lg_edges WHERE dst = 'https://s2.example/p/2' OR dst = 'https://s1.example/p/1'",
+)
+def _(spark, d):
+    from linkloom.operators.pages import linkers
+
+    g = shop_graph(spark, d)
+    two = linkers(g, "https://s2.example/p/2").unionByName(linkers(g, "https://s1.example/p/1"))
+    return two.distinct()
+
+
+@check(
+    "ingest_w21_page_owner",
+    """SELECT l_orderkey, l_linenumber, 'https://s' || l_suppkey || '.example' AS domain FROM lineitem""",
+)
+def _(spark, d):
+    uri = F.concat(
+        F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example/p/"),
+        (F.col("l_partkey") + F.col("l_linenumber")).cast("string"),
+    )
+    asked = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", uri.alias("url"))
+    return ingest.page_owner(asked, shop_graph(spark, d)).drop("url")
+
+
+@check(
+    "ingest_w24_new_assertions",
+    """SELECT 'https://d' || (doc_id % 50) || '.example' AS source, 'https://doc.example/' || doc_id AS uri,
+       array_to_string(list_sort(list_distinct([lang, CASE WHEN doc_id % 3 = 0 THEN 'more' ELSE source END])), ',') AS terms
+       FROM documents WHERE doc_id % 3 = 0""",
+)
+def _(spark, d):
+    g = shop_graph(spark, d)
+    k = F.col("doc_id")
+    asked = read(spark, d, "documents").select(
+        F.concat(F.lit("https://d"), (k % 50).cast("string"), F.lit(".example")).alias("source"),
+        F.concat(F.lit("https://doc.example/"), k.cast("string")).alias("uri"),
+        F.array("lang", F.when(k % 3 == 0, "more").otherwise(F.col("source"))).alias("terms"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("description"),
+    )
+    rows = ingest.assert_terms(g, asked, NOW)["assertions"]
+    return rows.select("source", "uri", F.array_join("terms", ",").alias("terms"))
