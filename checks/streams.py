@@ -1 +1,103 @@
-"""Registered queries."""
+"""Request admission over the event table, as batch jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.functions import normal_sql, origin_sql
+from checks.registry import check
+from linkloom.sources.shop_graph import read, requests, shop_graph
+from linkloom.streaming import admission
+
+DAY = 86_400_000
+COOLDOWN = 6 * 3_600_000
+
+
+def walk(name: str, rows: str, span: int) -> str:
+    """Window starts of (key, t) rows, one window per step."""
+    return f"""{name}_w AS (SELECT key, min(t) AS s FROM {rows} GROUP BY key
+        UNION ALL SELECT w.key, min(r.t) FROM {name}_w w JOIN {rows} r ON r.key = w.key AND r.t > w.s + {span}
+        GROUP BY w.key, w.s)"""
+
+
+_BASE = f"""WITH RECURSIVE rq AS (SELECT *, {origin_sql('uri')} AS origin, {normal_sql('uri')} AS page FROM lg_requests),
+    base AS (SELECT origin AS key, ts AS t, request_id FROM rq),
+    {walk('rate', 'base', DAY)},
+    placed AS (SELECT b.*, (SELECT max(s) FROM rate_w w WHERE w.key = b.key AND w.s <= b.t) AS s FROM base b),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY t, request_id) <= 2 AS within FROM placed)"""
+
+
+@check("stream_t01_rate_limit", _BASE + " SELECT request_id, within FROM ranked")
+def _(spark, d):
+    rows = requests(spark, d).withColumn("origin", admission.origin("uri"))
+    return admission.rate_limited(rows, "origin", 2, DAY).select("request_id", "within")
+
+
+_COOL = f"""WITH RECURSIVE rq AS (SELECT request_id, ts AS t, {normal_sql('uri')} AS key FROM lg_requests),
+    {walk('cool', 'rq', COOLDOWN - 1)},
+    firsts AS (SELECT key, t, min(request_id) AS request_id FROM rq GROUP BY key, t)
+    SELECT request_id, request_id IN (SELECT f.request_id FROM firsts f JOIN cool_w w ON f.key = w.key AND f.t = w.s)
+           AS accepted FROM rq"""
+
+
+@check("stream_t02_cooldown", _COOL)
+def _(spark, d):
+    rows = requests(spark, d).withColumn("page", admission.normalize("uri"))
+    return admission.cooled_down(rows, "page", COOLDOWN).select("request_id", "accepted")
+
+
+def known_users(spark, d):
+    """A graph that knows the origins of the requesting users, but one in seven."""
+    k = F.col("user_id")
+    users = read(spark, d, "events").select("user_id").distinct().select(
+        F.concat(F.lit("https://u"), k.cast("string"), F.lit(".example")).alias("origin"),
+        (k % 7 != 0).alias("verified"),
+        F.lit(False).alias("banned"),
+    )
+    return shop_graph(spark, d).with_tables(origins=users)
+
+
+_ADMIT = f"""WITH RECURSIVE rq AS (SELECT *, {origin_sql('uri')} AS origin, {normal_sql('uri')} AS page,
+      CAST(regexp_extract(uri, 'https://u([0-9]+)', 1) AS BIGINT) AS u FROM lg_requests),
+    pre AS (SELECT *, CASE WHEN origin <> requesting_origin THEN 'origin' WHEN u % 7 = 0 THEN 'verified' END AS f FROM rq),
+    base AS (SELECT origin AS key, ts AS t, request_id FROM pre WHERE f IS NULL),
+    {walk('rate', 'base', DAY)},
+    placed AS (SELECT b.*, (SELECT max(s) FROM rate_w w WHERE w.key = b.key AND w.s <= b.t) AS s FROM base b),
+    within AS (SELECT request_id FROM (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY t, request_id) AS n
+      FROM placed) WHERE n <= 2),
+    mid AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN request_id NOT IN (SELECT request_id FROM within) THEN 'rate'
+      WHEN rule_set <> 'default' THEN 'rules' END AS g FROM pre),
+    left_over AS (SELECT page AS key, ts AS t, request_id FROM mid WHERE g IS NULL),
+    {walk('cool', 'left_over', COOLDOWN - 1)},
+    firsts AS (SELECT key, t, min(request_id) AS request_id FROM left_over GROUP BY key, t),
+    good AS (SELECT f.request_id FROM firsts f JOIN cool_w w ON f.key = w.key AND f.t = w.s),
+    done AS (SELECT request_id, coalesce(g, CASE WHEN request_id NOT IN (SELECT request_id FROM good) THEN 'cooldown' END)
+      AS failed FROM mid)"""
+
+
+def decided(spark, d):
+    return admission.admit(
+        requests(spark, d), known_users(spark, d), limit=2, window_ms=DAY, cooldown_ms=COOLDOWN
+    )
+
+
+@check("stream_t03_admission", _ADMIT + " SELECT request_id, failed, failed IS NULL AS accepted FROM done")
+def _(spark, d):
+    return decided(spark, d).select("request_id", "failed", "accepted")
+
+
+@check(
+    "stream_t06_status_codes",
+    _ADMIT + """ SELECT status, count(*) AS n FROM (SELECT CASE failed WHEN 'origin' THEN 403 WHEN 'verified' THEN 401
+       WHEN 'rate' THEN 429 WHEN 'rules' THEN 403 ELSE 200 END AS status FROM done) GROUP BY status""",
+)
+def _(spark, d):
+    return decided(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@check(
+    "stream_t08_distinct_pages",
+    f"SELECT DISTINCT {normal_sql('uri')} AS page FROM lg_requests",
+)
+def _(spark, d):
+    return requests(spark, d).select(admission.normalize("uri").alias("page")).distinct()

@@ -3,7 +3,9 @@
 Rate limit and cooldown are the same operator. A window opens at the first request of a
 key and the next one opens at the first request after it has ended, so where a window
 starts depends on the one before. A key with a third of all requests must not be walked
-in one task, so time is cut into slots:
+in one task, so its time is cut into slots.
+
+Keys with few requests are walked as they are. For a hot key:
 
 1. per (key, slot): the distinct request times are reduced to a small step function
    "window open on entry → last window opened in the slot";
@@ -16,7 +18,7 @@ No task holds more than the distinct milliseconds of one slot.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ from linkloom.functions.safety import rule_set_allowed
 from linkloom.functions.urls import normalize, origin, same_origin, scheme
 from linkloom.graph import Graph
 from linkloom.operators.trust import flag
+from linkloom.session import ensure_checkpoint_dir
 
 # --- fixed values ----------------------------------------------------------------
 RATE_LIMIT = 10
@@ -45,10 +48,13 @@ STATUS = {"uri": 400, "origin": 403, "policy": 403, "verified": 401, "rate": 429
 # --- end of fixed values ---------------------------------------------------------
 
 SLOT_MS = 600_000
+MAX_SLOT_MS = 3_600_000
+# a key with at most this many distinct times is walked as a whole
+WALK_ROWS = 100_000
 _OPEN_END = np.iinfo(np.int64).max
 
 
-def _slot_steps(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def _slot_steps(times: np.ndarray, span: int, slot_start: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of a slot: for entry ends below ``upto`` the last window opens at ``last``.
 
     The final step, without a request after the entry window, keeps it open (last = -1).
@@ -61,8 +67,8 @@ def _slot_steps(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         if np.array_equal(jumped, final):
             break
         final = jumped
-    # entry windows end before the first request's successor within one span
-    reach = int(np.searchsorted(times, times[0] - times[0] % SLOT_MS + span, side="left"))
+    # an entry window opened before the slot ends less than one span into it
+    reach = int(np.searchsorted(times, slot_start + span, side="left"))
     first = np.arange(min(reach + 1, n))
     upto = np.append(times[first], _OPEN_END)
     last = np.append(times[final[first]], -1)
@@ -73,22 +79,88 @@ def _slot_steps(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return upto[keep], last[keep]
 
 
-def window_starts(times: DataFrame, span: int, opened: DataFrame | None = None) -> DataFrame:
+def window_starts(
+    times: DataFrame, span: int, opened: DataFrame | None = None, walk_rows: int = WALK_ROWS
+) -> DataFrame:
     """(key, t) with distinct rows → (key, t, start): the window each time falls in.
 
-    A window covers its start and the ``span`` ms after it. ``opened`` gives windows
-    already open per key as (key, start).
+    A window covers its start and the ``span`` ms after it. ``opened`` gives the window
+    already open per key as (key, start); times it covers belong to it.
+    """
+    if opened is None:
+        return _fresh_windows(times, span, walk_rows)
+    held = opened.select("key", F.col("start").alias("opened"))
+    joined = times.join(held, "key", "left")
+    inside = F.coalesce(F.col("t") <= F.col("opened") + span, F.lit(False))
+    covered = joined.filter(inside).select("key", "t", F.col("opened").alias("start"))
+    rest = joined.filter(~inside).select("key", "t")
+    return covered.unionByName(_fresh_windows(rest, span, walk_rows))
+
+
+def _lay_out(t: np.ndarray, start: int, span: int) -> np.ndarray:
+    """Window start of each sorted time, given the window open before (-1 for none)."""
+    out = np.empty(len(t), dtype=np.int64)
+    at = int(np.searchsorted(t, start + span, side="right")) if start >= 0 else 0
+    out[:at] = start
+    while at < len(t):
+        stop = int(np.searchsorted(t, t[at] + span, side="right"))
+        out[at:stop] = t[at]
+        at = stop
+    return out
+
+
+def _walk(df: DataFrame, keys: list[str], order: str, fn: Callable, schema: str) -> DataFrame:
+    """Apply ``fn`` to each group's rows, sorted, reading whole partitions batch by batch.
+
+    Many small groups share a batch, which is far cheaper than one Python call each.
     """
-    slotted = times.select("key", "t", F.floor(F.col("t") / SLOT_MS).alias("slot"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush() -> pd.DataFrame:
+            group = pd.concat(held) if len(held) > 1 else held[0]
+            held.clear()
+            return fn(group)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            marks = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                values = pdf[k].to_numpy()
+                marks[1:] |= values[1:] != values[:-1]
+            cuts = np.append(np.flatnonzero(marks), len(pdf))
+            done, begin = [], 0
+            for cut in cuts:
+                part = pdf.iloc[begin:cut]
+                if held and any(held[0][k].iloc[0] != part[k].iloc[0] for k in keys):
+                    done.append(flush())
+                held.append(part)
+                begin = cut
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield flush()
+
+    grouped = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    return grouped.mapInPandas(run, schema)
+
+
+def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> DataFrame:
+    slot_ms = min(max(SLOT_MS, 10 * span), MAX_SLOT_MS)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(start=_lay_out(pdf["t"].to_numpy(), -1, span))
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, last = _slot_steps(np.sort(pdf["t"].to_numpy()), span)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "slot": pdf["slot"].iloc[0], "upto": upto, "last": last})
+        slot = int(pdf["slot"].iloc[0])
+        upto, last = _slot_steps(pdf["t"].to_numpy(), span, slot * slot_ms)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "slot": slot, "upto": upto, "last": last})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["slot", "upto"])
-        start = int(pdf["opened"].iloc[0])
-        slots, entries = [], []
+        start, slots, entries = -1, [], []
         for slot, part in pdf.groupby("slot", sort=True):
             slots.append(slot)
             entries.append(start)
@@ -99,29 +171,22 @@ def window_starts(times: DataFrame, span: int, opened: DataFrame | None = None)
         return pd.DataFrame({"key": pdf["key"].iloc[0], "slot": slots, "entry": entries})
 
     def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
-        start = int(pdf["entry"].iloc[0])
-        out = np.empty(len(t), dtype=np.int64)
-        at = int(np.searchsorted(t, start + span, side="right")) if start >= 0 else 0
-        out[:at] = start
-        while at < len(t):
-            stop = int(np.searchsorted(t, t[at] + span, side="right"))
-            out[at:stop] = t[at]
-            at = stop
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "t": t, "start": out})
-
-    per_slot = slotted.groupBy("key", "slot").applyInPandas(steps, "key string, slot long, upto long, last long")
-    if opened is None:
-        per_slot = per_slot.withColumn("opened", F.lit(-1).cast("long"))
-    else:
-        held = opened.select("key", F.col("start").alias("opened"))
-        per_slot = per_slot.join(held, "key", "left").withColumn("opened", F.coalesce("opened", F.lit(-1)))
+        start = _lay_out(pdf["t"].to_numpy(), int(pdf["entry"].iloc[0]), span)
+        return pdf[["key", "t"]].assign(start=start)
+
+    # most keys are seen once or a few times: only the hot ones are cut into slots
+    seen = times.groupBy("key").agg(F.count("t").alias("n"), F.max("t").alias("only"))
+    single = seen.filter("n = 1").select("key", F.col("only").alias("t"), F.col("only").alias("start"))
+    few = seen.filter((F.col("n") > 1) & (F.col("n") <= walk_rows)).select("key")
+    walked = _walk(times.join(few, "key", "left_semi"), ["key"], "t", whole, "key string, t long, start long")
+
+    hot = times.join(seen.filter(F.col("n") > walk_rows).select("key"), "key", "left_semi")
+    slotted = hot.select("key", "t", F.floor(F.col("t") / slot_ms).alias("slot"))
+    pair = ["key", "slot"]
+    per_slot = _walk(slotted, pair, "t", steps, "key string, slot long, upto long, last long")
     entries = per_slot.groupBy("key").applyInPandas(chain, "key string, slot long, entry long")
-    return (
-        slotted.join(entries, ["key", "slot"])
-        .groupBy("key", "slot")
-        .applyInPandas(lay_out, "key string, t long, start long")
-    )
+    cut = _walk(slotted.join(entries, pair), pair, "t", lay_out, "key string, t long, start long")
+    return single.unionByName(walked).unionByName(cut)
 
 
 def rate_limited(
@@ -240,6 +305,9 @@ def admit(
     rated = rated.withColumn(
         "failed", F.when(~F.col("within"), "rate").when(~F.col("rules_ok"), "rules")
     ).drop("within")
+    # both halves below and the cooldown's joins read it: do the rate walk once
+    ensure_checkpoint_dir(graph.spark)
+    rated = rated.checkpoint()
     if last_accepted is None:
         last_accepted = graph.pages.filter("indexed IS NOT NULL").select(
             F.col("uri").alias("key"), F.col("indexed").alias("start")
