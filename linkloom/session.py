@@ -14,8 +14,6 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # HTML bodies are wide; keep the Arrow batches handed to Python small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

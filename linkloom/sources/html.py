@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linkloom import vocabulary as V
 from linkloom.functions.tags import split_terms
 from linkloom.functions.urls import is_url, origin
-from linkloom.sources.selectors import PageReader, parse_selector
+from linkloom.sources.selectors import PageReader, RuleIndex, parse_selector
 from linkloom.sources.values import keep_values, processed
 
 HITS = "array<struct<rule:int,el:int,value:string,terms:string>>"
@@ -33,14 +33,14 @@ def read_pages(
     pages: DataFrame, rules: Sequence[Mapping[str, Any]], url: str = "url", html: str = "html"
 ) -> DataFrame:
     """(url, html) → (url, hits): what each rule's selector found, in document order."""
-    compiled = [
-        (parse_selector(r["selector"]), r["attribute"], (r.get("terms") or {}).get("attribute")) for r in rules
-    ]
+    index = RuleIndex(
+        [(parse_selector(r["selector"]), r["attribute"], (r.get("terms") or {}).get("attribute")) for r in rules]
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = [
-                [dict(zip(("rule", "el", "value", "terms"), h)) for h in PageReader(compiled).read(text or "")]
+                [dict(zip(("rule", "el", "value", "terms"), h)) for h in PageReader(index).read(text or "")]
                 for text in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, _HIT)], names=["url", "hits"])

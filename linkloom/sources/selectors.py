@@ -87,10 +87,33 @@ def _matches(steps, path) -> bool:
     return any(top > 0 and _matches(rest, path[:top]) for top in tops)
 
 
+class RuleIndex:
+    """Rules filed under the tag or attribute their last step needs."""
+
+    def __init__(self, rules):
+        self._by_tag: dict[str, list] = {}
+        self._by_attribute: dict[str, list] = {}
+        self._always: list = []
+        for number, (selector, attribute, terms) in enumerate(rules):
+            for steps in selector:
+                tag, want, _ = steps[-1][1]
+                entry = (number, steps, attribute, terms)
+                if tag is not None:
+                    self._by_tag.setdefault(tag, []).append(entry)
+                elif want:
+                    self._by_attribute.setdefault(want[0][0], []).append(entry)
+                else:
+                    self._always.append(entry)
+
+    def candidates(self, tag, attrs):
+        found = self._by_tag.get(tag, ()), self._always, *(self._by_attribute.get(a, ()) for a in attrs)
+        return sorted((e for group in found for e in group), key=lambda e: e[0])
+
+
 class PageReader(HTMLParser):
     """Collects [rule, element, value, terms] for every rule, in document order."""
 
-    def __init__(self, rules):
+    def __init__(self, rules: RuleIndex):
         super().__init__(convert_charrefs=True)
         self._rules = rules
         self._path: list[tuple[str, dict]] = []
@@ -105,10 +128,11 @@ class PageReader(HTMLParser):
             found.setdefault(name, value or "")
         self._count += 1
         self._path.append((tag, found))
-        waiting = []
-        for number, (selector, attribute, terms) in enumerate(self._rules):
-            if not any(_matches(steps, self._path) for steps in selector):
+        waiting, last = [], None
+        for number, steps, attribute, terms in self._rules.candidates(tag, found):
+            if number == last or not _matches(steps, self._path):
                 continue
+            last = number
             hit = [number, self._count, found.get(attribute.lower()), found.get(terms) if terms else None]
             if attribute == "textContent":
                 hit[2] = ""

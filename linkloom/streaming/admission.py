@@ -175,18 +175,22 @@ def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> D
         return pdf[["key", "t"]].assign(start=start)
 
     # most keys are seen once or a few times: only the hot ones are cut into slots
-    seen = times.groupBy("key").agg(F.count("t").alias("n"), F.max("t").alias("only"))
-    single = seen.filter("n = 1").select("key", F.col("only").alias("t"), F.col("only").alias("start"))
-    few = seen.filter((F.col("n") > 1) & (F.col("n") <= walk_rows)).select("key")
-    walked = _walk(times.join(few, "key", "left_semi"), ["key"], "t", whole, "key string, t long, start long")
-
-    hot = times.join(seen.filter(F.col("n") > walk_rows).select("key"), "key", "left_semi")
+    ensure_checkpoint_dir(times.sparkSession)
+    seen = times.groupBy("key").agg(F.count("t").alias("n"))
+    counted = times.join(seen, "key").select("key", "t", "n").checkpoint()
+    schema = "key string, t long, start long"
+    single = counted.filter("n = 1").select("key", "t", F.col("t").alias("start"))
+    few = counted.filter((F.col("n") > 1) & (F.col("n") <= walk_rows)).select("key", "t")
+    known = single.unionByName(_walk(few, ["key"], "t", whole, schema))
+    hot = counted.filter(F.col("n") > walk_rows)
+    if hot.isEmpty():
+        return known
     slotted = hot.select("key", "t", F.floor(F.col("t") / slot_ms).alias("slot"))
     pair = ["key", "slot"]
     per_slot = _walk(slotted, pair, "t", steps, "key string, slot long, upto long, last long")
     entries = per_slot.groupBy("key").applyInPandas(chain, "key string, slot long, entry long")
-    cut = _walk(slotted.join(entries, pair), pair, "t", lay_out, "key string, t long, start long")
-    return single.unionByName(walked).unionByName(cut)
+    cut = _walk(slotted.join(entries, pair), pair, "t", lay_out, schema)
+    return known.unionByName(cut)
 
 
 def rate_limited(
@@ -299,14 +303,14 @@ def admit(
     set or the cooldown later refuses the request.
     """
     rules = POLICIES[policy] if isinstance(policy, str) else tuple(policy)
-    checked = _stateless(requests, graph, rules, allow_hosts)
+    ensure_checkpoint_dir(graph.spark)
+    # each stage below is read several times, so its rows are written once
+    checked = _stateless(requests, graph, rules, allow_hosts).checkpoint()
     passing = checked.filter("failed IS NULL")
     rated = rate_limited(passing, "origin", limit, window_ms, rate_state)
     rated = rated.withColumn(
         "failed", F.when(~F.col("within"), "rate").when(~F.col("rules_ok"), "rules")
     ).drop("within")
-    # both halves below and the cooldown's joins read it: do the rate walk once
-    ensure_checkpoint_dir(graph.spark)
     rated = rated.checkpoint()
     if last_accepted is None:
         last_accepted = graph.pages.filter("indexed IS NOT NULL").select(
