@@ -14,13 +14,15 @@ from linkloom.functions.tags import term_name
 from linkloom.graph import Graph
 from linkloom.operators.filters import filter_relations, in_range
 from linkloom.operators.pages import (
-    BROADCAST_ROWS,
+    is_small,
     linked_rows,
+    matching_edges,
     newest_first,
     paged,
     posted_rows,
 )
 from linkloom.plans.spec import QuerySpec
+from linkloom.session import write_once
 
 CHUNK = 1000
 HEAD = ("title", "description", "image", "date", "post_date")
@@ -54,9 +56,10 @@ def heads_of_unlinked(graph: Graph, pages: DataFrame) -> DataFrame:
 
 def annotations(graph: Graph, heads: DataFrame, detail: DataFrame, limit: int | None) -> DataFrame:
     """Long page objects: heads with one row per tag or typed link."""
-    small = limit is not None and limit <= BROADCAST_ROWS
+    if is_small(limit):  # the chosen pages are read three times, so find them once
+        heads = write_once(heads)
     keys = heads.select(F.col("id").alias("src"))
-    keys = F.broadcast(keys) if small else keys
+    keys = F.broadcast(keys) if is_small(limit) else keys
     edges = detail.join(keys, "src", "left_semi")
     relations = relation_details(graph.relations.join(keys, "src", "left_semi"))
     is_term = F.col("kind") == "term"
@@ -76,7 +79,12 @@ def object_heads(
     """The chosen pages, newest first after LIMIT and OFFSET, and their edges."""
     filt = spec.filters
     unlinked = spec.objects.type == "none"
-    chosen = posted_rows(graph, spec) if unlinked else linked_rows(graph, spec, rt_scope)
+    if unlinked:
+        chosen = posted_rows(graph, spec)
+    elif filt.when or filt.created or filt.indexed:
+        chosen = linked_rows(graph, spec, rt_scope)
+    else:  # the page table is joined to the heads below, so not here
+        chosen = matching_edges(graph, spec, rt_scope)
     detail = graph.edges.join(chosen.select("src"), "src", "left_semi")
     detail = filter_relations(detail, graph, filt.subtype, filt.relation_terms, rt_scope)
     heads = heads_of_linked(graph, detail)
@@ -91,8 +99,11 @@ def object_heads(
 def get_objects(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
     """Long page objects of the pages a spec selects."""
     spec.require_bounded()
+    filt = spec.filters
     heads, detail = object_heads(graph, spec, rt_scope)
-    return annotations(graph, heads, detail, spec.filters.limit)
+    if is_small(filt.limit):  # the heads alone select the edges to show
+        detail = filter_relations(graph.edges, graph, filt.subtype, filt.relation_terms, rt_scope)
+    return annotations(graph, heads, detail, filt.limit)
 
 
 def discover(

@@ -14,11 +14,16 @@ from linkloom.operators.filters import (
     in_range,
 )
 from linkloom.plans.spec import QuerySpec
+from linkloom.session import write_once
 
 # a row limit up to this many rows also bounds what may be broadcast
 BROADCAST_ROWS = 10_000
 
 
+def is_small(limit: int | None) -> bool:
+    return limit is not None and limit <= BROADCAST_ROWS
+
+
 def matching_edges(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
     """Edges that meet the subject, object, class and relationship conditions."""
     subj, obj, filt = spec.subjects, spec.objects, spec.filters
@@ -36,11 +41,14 @@ def _dated_filters(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return in_range(df, spec.filters.indexed, "indexed")
 
 
+def dated_edges(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
+    edges = matching_edges(graph, spec, rt_scope)
+    return edges.select("src", "dst", "kind", F.col("ts").alias("date"))
+
+
 def linked_rows(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
     """Matching edges joined to their source page; every source is a known page."""
-    edges = matching_edges(graph, spec, rt_scope).select(
-        "src", "dst", "kind", F.col("ts").alias("date")
-    )
+    edges = dated_edges(graph, spec, rt_scope)
     rows = edges.join(graph.pages, edges.src == graph.pages.uri).drop("uri", "self_indexed")
     return _dated_filters(rows, spec)
 
@@ -83,7 +91,7 @@ def attach_target(rows: DataFrame, graph: Graph, limit: int | None) -> DataFrame
         F.col("description").alias("o_description"),
         F.col("image").alias("o_image"),
     )
-    if limit is not None and limit <= BROADCAST_ROWS:
+    if is_small(limit):
         # few rows were kept: reduce the page table by them instead of shuffling it
         target = target.join(F.broadcast(rows.select("dst").distinct()), "dst", "left_semi")
         target = F.broadcast(target)
@@ -101,7 +109,10 @@ def edge_rows(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFram
             "*", empty.alias("o_title"), empty.alias("o_description"), empty.alias("o_image")
         )
     rows = newest_first(linked_rows(graph, spec, rt_scope), "src", "dst")
-    return attach_target(paged(rows, filt.limit, filt.offset), graph, filt.limit)
+    rows = paged(rows, filt.limit, filt.offset)
+    if is_small(filt.limit):  # read twice below; the search behind them should run once
+        rows = write_once(rows)
+    return attach_target(rows, graph, filt.limit)
 
 
 def page_listing(rows: DataFrame) -> DataFrame:

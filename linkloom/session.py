@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME = {
     # every date column is UTC epoch milliseconds
@@ -39,3 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of rows that several parts of a plan read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -61,10 +61,10 @@ def _present(df: DataFrame, path: str) -> Column | None:
     return F.when(col != "", col) if isinstance(kind, T.StringType) else col
 
 
-def _source(df: DataFrame, paths: str | Sequence[str]) -> Column:
+def _source(df: DataFrame, paths: str | Sequence[str]) -> Column | None:
     listed = [paths] if isinstance(paths, str) else list(paths)
     found = [c for c in (_present(df, p) for p in listed) if c is not None]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    return F.coalesce(*found) if found else None
 
 
 def field_column(df: DataFrame, rule: Mapping[str, Any], now_ms: Column) -> Column:
@@ -72,6 +72,11 @@ def field_column(df: DataFrame, rule: Mapping[str, Any], now_ms: Column) -> Colu
         value = now_ms if rule["value"] == "now" else F.lit(rule["value"])
     else:
         value = _source(df, rule["from"])
+        if value is None:  # the rows have no such column
+            steps = rule.get("postProcess") or []
+            steps = [steps] if isinstance(steps, Mapping) else steps
+            listed = any(s["method"] == "extractTags" for s in steps)
+            return F.lit(None).cast("array<string>" if listed else "string")
     return apply_steps(value, rule["postProcess"]) if rule.get("postProcess") else value
 
 

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = ("script", "style")
 _STEP = re.compile(r"\s*(>)?\s*((?:[^\s>\[\](,]+|\[[^\]]*\]|\([^)]*\))+)\s*(,)?")
-_PART = re.compile(r":not\(\s*(\[[^\]]*\]|\.[\w-]+)\s*\)|(\[[^\]]*\])|\.([\w-]+)|([\w:-]+|\*)")
+_PART = re.compile(r":not\(\s*(\[[^\]]*\]|\.[\w-]+)\s*\)|(\[[^\]]*\])|\.([\w-]+)|([\w-]+|\*)")
 _ATTR = re.compile(r"""\[\s*([\w:-]+)\s*(?:([~*^$]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]]*?))\s*)?\]""")
 
 

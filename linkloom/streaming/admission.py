@@ -29,7 +29,7 @@ from linkloom.functions.safety import rule_set_allowed
 from linkloom.functions.urls import normalize, origin, same_origin, scheme
 from linkloom.graph import Graph
 from linkloom.operators.trust import flag
-from linkloom.session import ensure_checkpoint_dir
+from linkloom.session import write_once
 
 # --- fixed values ----------------------------------------------------------------
 RATE_LIMIT = 10
@@ -175,9 +175,8 @@ def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> D
         return pdf[["key", "t"]].assign(start=start)
 
     # most keys are seen once or a few times: only the hot ones are cut into slots
-    ensure_checkpoint_dir(times.sparkSession)
     seen = times.groupBy("key").agg(F.count("t").alias("n"))
-    counted = times.join(seen, "key").select("key", "t", "n").checkpoint()
+    counted = write_once(times.join(seen, "key").select("key", "t", "n"))
     schema = "key string, t long, start long"
     single = counted.filter("n = 1").select("key", "t", F.col("t").alias("start"))
     few = counted.filter((F.col("n") > 1) & (F.col("n") <= walk_rows)).select("key", "t")
@@ -303,15 +302,14 @@ def admit(
     set or the cooldown later refuses the request.
     """
     rules = POLICIES[policy] if isinstance(policy, str) else tuple(policy)
-    ensure_checkpoint_dir(graph.spark)
     # each stage below is read several times, so its rows are written once
-    checked = _stateless(requests, graph, rules, allow_hosts).checkpoint()
+    checked = write_once(_stateless(requests, graph, rules, allow_hosts))
     passing = checked.filter("failed IS NULL")
     rated = rate_limited(passing, "origin", limit, window_ms, rate_state)
     rated = rated.withColumn(
         "failed", F.when(~F.col("within"), "rate").when(~F.col("rules_ok"), "rules")
     ).drop("within")
-    rated = rated.checkpoint()
+    rated = write_once(rated)
     if last_accepted is None:
         last_accepted = graph.pages.filter("indexed IS NOT NULL").select(
             F.col("uri").alias("key"), F.col("indexed").alias("start")
