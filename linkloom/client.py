@@ -58,9 +58,9 @@ class LinkGraph:
         """Rows of a query; ``as_`` asks for the spec, its plan or a publisher's output."""
         spec = self.spec(what, by, **options)
         rows = run(self.graph, spec, what, rt_scope)
-        if as_ == "multipass":
+        if as_ == V.AS_SPEC:
             return {"spec": spec.to_dict(), "query": plan_text(rows)}
-        if as_ == "debug":
+        if as_ == V.AS_DEBUG:
             return {"spec": spec.to_dict(), "query": plan_text(rows), "results": rows}
         if as_:
             return self.publish(rows, as_, spec)
@@ -75,7 +75,7 @@ class LinkGraph:
         return run(self.graph, saved)
 
     def explain_spec(self, what: str, by: str, **options: Any) -> str:
-        found = self.get(what, by, as_="multipass", **options)
+        found = self.get(what, by, as_=V.AS_SPEC, **options)
         return json.dumps(found["spec"], indent=2) + "\n" + found["query"]
 
     def publish(self, rows: DataFrame, name: str, spec: QuerySpec | None = None) -> DataFrame:

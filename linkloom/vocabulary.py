@@ -46,6 +46,8 @@ BY = {
     "members": ("all", ""),
     "member-of": ("all", ""),
 }
+AS_SPEC = "multipass"
+AS_DEBUG = "debug"
 RING_BY = ("in-webring", "members", "member-of")
 RELATION_TERM_BY = ("linked", "mentioned", "backlinked", "cited", "bookmarked")
 
