@@ -204,12 +204,18 @@ def class_counts(graph: Graph) -> DataFrame:
 
 def totals(graph: Graph, hidden: Sequence[str] = ()) -> DataFrame:
     """Site totals as one row."""
-    names = {"Term": "terms", "Page": "pages", "Origin": "domains", "Assertion": "assertions"}
-    counts = class_counts(graph).agg(
+    names = {
+        "Term": "terms",
+        "Page": "pages",
+        "Origin": "domains",
+        "Assertion": "assertions",
+        "Ring": "rings",
+    }
+    ring_row = ring_count(graph, hidden).select(F.lit("Ring").alias("class"), F.col("rings").alias("n"))
+    counts = class_counts(graph).unionByName(ring_row)
+    return counts.agg(
         *[F.max(F.when(F.col("class") == k, F.col("n"))).alias(v) for k, v in names.items()]
     )
-    rings_row = ring_count(graph, hidden).select(F.lit(1).alias("one"), "rings")
-    return counts.select(F.lit(1).alias("one"), "*").join(rings_row, "one").drop("one")
 
 
 def result_count(df: DataFrame) -> DataFrame:

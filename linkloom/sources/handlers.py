@@ -33,7 +33,7 @@ class Handlers:
         if mode in self._builtin:
             raise ValueError(f'Handler "{mode}" is already registered as a built-in')
         if not mode or not content_types or not callable(harvest):
-            raise ValueError("Handler must have mode, contentTypes, and harmonize")
+            raise ValueError("Handler must have a mode, content types and a harvest function")
         self._modes[mode] = (tuple(content_types), harvest)
 
     def get(self, mode: str) -> Harvest | None:

@@ -46,6 +46,7 @@ BY = {
     "members": ("all", ""),
     "member-of": ("all", ""),
 }
+TERM_MODE = "octothorpes"
 AS_SPEC = "multipass"
 AS_DEBUG = "debug"
 RING_BY = ("in-webring", "members", "member-of")

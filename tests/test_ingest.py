@@ -105,3 +105,13 @@ def test_stream_equals_batch(spark):
     batch = ingest.ingest(Graph.empty(spark, INSTANCE), harvest_html(df, rules), 1000)
     assert rows(store.graph().edges, "src", "dst") == rows(batch["edges"], "src", "dst")
     assert store.graph().pages.count() == 9
+
+
+def test_removed_members_may_join_again(spark):
+    store = GraphStore(spark, tempfile.mkdtemp(), INSTANCE)
+    one = spark.createDataFrame([("r", "a"), ("r", "b")], "ring string, origin string")
+    store.append(0, {"ring_members": one})
+    store.remove_members(1, one.filter("origin = 'a'"))
+    assert rows(store.graph().ring_members, "origin") == [("b",)]
+    store.append(2, {"ring_members": one.filter("origin = 'a'")})
+    assert rows(store.graph().ring_members, "origin") == [("a",), ("b",)]
