@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,6 @@ def savings(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.Zstd
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Train the dictionaries and the calibration on (text, toxic) rows."""
-    rows = list(dict.fromkeys(rows))
     toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
     # folds: content from one half must not be calibrated on itself
     half = [(toxic[k::2], ordinary[k::2]) for k in range(2)]
@@ -146,11 +145,24 @@ def score(text: str, model: Model, machines: list[zstandard.ZstdCompressor]) ->
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most PER_CLASS labelled rows of each class, none of them held out."""
-    known = labels.where("doc_id is not null and toxic is not null").select(
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learned from."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
-    ).where(~held_out()).distinct()
+    )
+    return known.where(~held_out()).distinct()
+
+
+def at_usual_odds(model: Model, sampled: tuple[int, int], labelled: tuple[int, int]) -> Model:
+    """The model for the shares of the classes among all labels; it was fitted on other shares."""
+    if not all(sampled) or not all(labelled):
+        return model
+    shift = math.log(labelled[1] / labelled[0]) - math.log(sampled[1] / sampled[0])
+    return replace(model, weights=(model.weights[0] + shift, *model.weights[1:]))
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, toxic) of at most PER_CLASS rows of each class."""
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for y in (0, 1)]
     picked = stored(parts[0].unionByName(parts[1]), "labelled")
     rows = doc_texts(docs).join(F.broadcast(picked), "doc_id")  # at most 2 * PER_CLASS ids
@@ -162,7 +174,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without labels of both classes the score is the share of toxic labels, or near 0 without any.
     """
-    model = fit([(r["text"], r["toxic"]) for r in training_rows(docs, labels).collect()])
+    known = known_labels(labels)
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two classes
+    rows = list(dict.fromkeys((r["text"], r["toxic"]) for r in training_rows(docs, known).collect()))
+    sampled = tuple(sum(y == c for _, y in rows) for c in (0, 1))
+    model = at_usual_odds(fit(rows), sampled, (counts.get(0, 0), counts.get(1, 0)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
