@@ -116,11 +116,12 @@ def _salient(toxic: list[str], ordinary: list[str]) -> set[bytes]:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """Dictionary content of at most `size` bytes; samples too few to train on are used as they are."""
+    """Dictionary content of at most `size` bytes; samples too few to fill half of it are used as they are."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[_HEADER:]
+        content = zstandard.train_dictionary(size, samples).as_bytes()[_HEADER:]
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        content = b""
+    return content if len(content) >= size // 2 else b"".join(dict.fromkeys(samples))[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
