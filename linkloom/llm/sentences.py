@@ -71,6 +71,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = stored(spans, "runs")
     place = F.struct("doc_id", "first")
     keepers = spans.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    keepers = stored(keepers, "keepers")  # both sides then come by an exchange, so a hot passage's side can be split
     again = spans.join(keepers.drop("n"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper")))
     return merged(again.select("doc_id", "first", "last", "start", "end", F.col("keeper.doc_id").alias("by")))
 
