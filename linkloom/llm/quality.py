@@ -142,7 +142,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     picked = stored(picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(LABELLED), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")  # at most LABELLED ids
-    rows = with_stats(rows).where(~base_failed()).join(F.broadcast(picked), "doc_id")
+    rows = with_stats(stored(rows, "sample")).where(~base_failed()).join(F.broadcast(picked), "doc_id")
     return covering(rows.select("doc_id", "quality", *STATS).orderBy("doc_id", *STATS).limit(2 * LABELLED).toPandas())
 
 
