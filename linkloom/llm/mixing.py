@@ -18,7 +18,7 @@ from linkloom.llm.common import WORD, stored
 ENTROPY, REPEATS = 0.98, 1.5
 BLOCK_TOKENS = 1_000_000
 #: documents that one task orders
-BUCKET = 20_000
+BUCKET = 4_000
 _SECTIONS, _ROUNDS = 32, 5
 
 
