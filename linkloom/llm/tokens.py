@@ -16,8 +16,8 @@ from linkloom.llm.common import doc_texts
 
 END_ID = 1
 #: how many chunks and how many words one Python worker remembers
-CHUNKS_HELD = 400_000
-WORDS_HELD = 300_000
+CHUNKS_HELD = 200_000
+WORDS_HELD = 200_000
 
 #: fixed value: the word pattern of the tokenizer file
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

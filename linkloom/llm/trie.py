@@ -23,7 +23,7 @@ from linkloom.llm.common import stored
 #: keys under one pair of nodes that a task may hold
 NODE_KEYS = 60_000
 #: keys a task walks at once, node pairs it holds at once, pairs of keys below which it compares them directly
-WALK_KEYS, FRONTIER, DIRECT = 150_000, 400_000, 48
+WALK_KEYS, FRONTIER, DIRECT = 100_000, 150_000, 48
 STEP = 6
 
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -210,7 +210,7 @@ def _meet(first: np.ndarray, keys: np.ndarray, width: int, depth: int) -> Iterat
         stack += [(below[:, at : at + FRONTIER], level + 1) for at in range(0, below.shape[1], FRONTIER)]
 
 
-def _bounded(front: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
+def _bounded(front: np.ndarray, most: int = 150_000) -> Iterator[np.ndarray]:
     """Cut into parts of at most `most` pairs of keys; one pair of nodes is cut by its left side."""
     if not front.shape[1]:
         return
