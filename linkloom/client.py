@@ -90,5 +90,5 @@ class LinkGraph:
         return publisher.publish(items, channel)
 
     def prepare(self, rows: DataFrame, name: str, protocol: str | None = None) -> DataFrame:
-        """Records for a target protocol, with collection and content type columns."""
-        return self.publishers.prepare(rows, name, protocol)
+        """Records for a target protocol, with collection and content type columns; page objects are nested first."""
+        return self.publishers.prepare(assemble(rows) if "kind" in rows.columns else rows, name, protocol)

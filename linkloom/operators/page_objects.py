@@ -22,7 +22,6 @@ from linkloom.operators.pages import (
     posted_rows,
 )
 from linkloom.plans.spec import QuerySpec
-from linkloom.session import write_once
 
 CHUNK = 1000
 HEAD = ("title", "description", "image", "date", "post_date")
@@ -56,8 +55,6 @@ def heads_of_unlinked(graph: Graph, pages: DataFrame) -> DataFrame:
 
 def annotations(graph: Graph, heads: DataFrame, detail: DataFrame, limit: int | None) -> DataFrame:
     """Long page objects: heads with one row per tag or typed link."""
-    if is_small(limit):  # the chosen pages are read three times, so find them once
-        heads = write_once(heads)
     keys = heads.select(F.col("id").alias("src"))
     keys = F.broadcast(keys) if is_small(limit) else keys
     edges = detail.join(keys, "src", "left_semi")
@@ -101,7 +98,7 @@ def get_objects(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFr
     spec.require_bounded()
     filt = spec.filters
     heads, detail = object_heads(graph, spec, rt_scope)
-    if is_small(filt.limit):  # the heads alone select the edges to show
+    if is_small(filt.limit):  # the heads alone select the edges to show; one broadcast serves both uses
         detail = filter_relations(graph.edges, graph, filt.subtype, filt.relation_terms, rt_scope)
     return annotations(graph, heads, detail, filt.limit)
 
@@ -114,8 +111,7 @@ def discover(
     created: DateRange = DateRange(),
     indexed: DateRange = DateRange(),
 ) -> DataFrame:
-    """Newest pages of verified origins with their annotations; 50 by default, 200 at most."""
-    limit = min(limit, 200)
+    """Newest pages of verified origins with their annotations, 50 by default."""
     verified = graph.origins.filter("verified").select("origin")
     owned = graph.origin_pages.join(verified, "origin", "left_semi").select(F.col("page").alias("uri"))
     pages = graph.pages.join(owned, "uri", "left_semi")
@@ -136,12 +132,14 @@ def chunked(df: DataFrame, key: str, value: str, chunk: int = CHUNK) -> DataFram
     return df.join(parts, key, "left").withColumn("part", spread.cast("int")).drop("parts")
 
 
-def assemble(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Nest long page objects; a page beyond ``chunk`` annotations comes in several parts."""
+def assemble(rows: DataFrame) -> DataFrame:
+    """Nest long page objects, one row for each page, as a published item is one record.
+
+    The row holds all of the page's own annotations; the long form has no such bound.
+    """
     link = F.struct(F.col("target").alias("uri"), "type", "terms")
     return (
-        chunked(rows, "id", "target", chunk)
-        .groupBy("id", "part")
+        rows.groupBy("id")
         .agg(
             *[F.first(c).alias(c) for c in HEAD],
             F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.col("target")))).alias("tags"),

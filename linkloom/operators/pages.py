@@ -14,7 +14,6 @@ from linkloom.operators.filters import (
     in_range,
 )
 from linkloom.plans.spec import QuerySpec
-from linkloom.session import write_once
 
 # a row limit up to this many rows also bounds what may be broadcast
 BROADCAST_ROWS = 10_000
@@ -110,8 +109,6 @@ def edge_rows(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFram
         )
     rows = newest_first(linked_rows(graph, spec, rt_scope), "src", "dst")
     rows = paged(rows, filt.limit, filt.offset)
-    if is_small(filt.limit):  # read twice below; the search behind them should run once
-        rows = write_once(rows)
     return attach_target(rows, graph, filt.limit)
 
 

@@ -20,8 +20,8 @@ _ENCODERS = {"xml": xml_encode, "uri": uri_encode, "json": json_encode}
 
 
 def apply_steps(value: Column, steps: Mapping[str, Any] | Sequence[Mapping[str, Any]]) -> Column:
-    """Fold the steps over a column; NULL stops the chain, so it stays NULL."""
-    for step in [steps] if isinstance(steps, Mapping) else steps:
+    """Fold the steps over a column. A step that gives NULL ends the chain; a first ``default`` replaces NULL."""
+    for number, step in enumerate([steps] if isinstance(steps, Mapping) else steps):
         method, params = step["method"], step.get("params")
         if method == "date":
             value = format_date(value, params or "iso8601")
@@ -32,7 +32,9 @@ def apply_steps(value: Column, steps: Mapping[str, Any] | Sequence[Mapping[str,
         elif method == "suffix":
             value = F.concat(value.cast("string"), F.lit(params))
         elif method == "default":
-            value = F.when(value.cast("string") == "", F.lit(params)).otherwise(value)
+            empty = value.cast("string") == ""
+            empty = empty | value.isNull() if number == 0 else empty
+            value = F.when(empty, F.lit(params)).otherwise(value)
         elif method == "extractTags":
             value = extract_tags(value)
     return value

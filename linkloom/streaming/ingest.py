@@ -7,6 +7,8 @@ state of the batch before it.
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -37,10 +39,14 @@ def ingest_stream(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Harvest and upsert each micro-batch; a batch the store has committed is skipped."""
+    """Harvest and upsert each micro-batch; one the store has committed is skipped.
+
+    Streams number their batches from 0, so each checkpoint folder is a writer of its own.
+    """
+    writer = "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()
 
     def upsert(df: DataFrame, batch: int) -> None:
-        store.ingest(batch, harvest(df), now_ms(batch))
+        store.ingest(batch, harvest(df), now_ms(batch), writer)
 
     return (
         pages.writeStream.foreachBatch(upsert)

@@ -115,3 +115,14 @@ def test_removed_members_may_join_again(spark):
     assert rows(store.graph().ring_members, "origin") == [("b",)]
     store.append(2, {"ring_members": one.filter("origin = 'a'")})
     assert rows(store.graph().ring_members, "origin") == [("a",), ("b",)]
+
+
+def test_writers_do_not_shadow_each_other(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path), INSTANCE)
+    one = spark.createDataFrame([("r", "a"), ("r", "b")], "ring string, origin string")
+    assert store.append(0, {"ring_members": one}, "first")
+    assert store.remove_members(0, one.filter("origin = 'a'")) and not store.remove_members(0, one)
+    assert store.append(0, {"ring_members": one.filter("origin = 'a'")}, "second")
+    assert rows(store.graph().ring_members, "origin") == [("a",), ("b",)]
+    compact = store.compact_to(str(tmp_path / "compact"))
+    assert compact.append(0, {"ring_members": one}, "first") and len(compact.commits()) == 2
