@@ -8,7 +8,6 @@ state of the batch before it.
 from __future__ import annotations
 
 import hashlib
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
