@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from linkloom import vocabulary as V
@@ -7,6 +9,7 @@ from linkloom.sources.handlers import Handlers
 from linkloom.sources.json_docs import harvest_json
 from linkloom.sources.lint import lint
 from linkloom.sources.rules import RuleSets, merge, rule
+from linkloom.sources.selectors import PageReader, RuleIndex, parse_selector
 
 INSTANCE = "https://lg.example/"
 PAGE = f"""<html><head><title>Hi &amp; bye</title><meta property="og:image" content="">
@@ -107,3 +110,30 @@ def test_lint(spark):
     df = spark.createDataFrame(list(sets.items()), "name string, rule_set string")
     for r in lint(df).collect():
         assert r.reason == (None if r.name == "ok" else r.name)
+
+
+def texts(html, *selectors):
+    index = RuleIndex([(parse_selector(s), "textContent", None) for s in selectors])
+    return [h[2] for h in PageReader(index).read(html)]
+
+
+@pytest.mark.parametrize("html, selectors, want", [
+    ("<ul><li class=a>one<li class=b>two</ul>end", ["li.a", "li.b"], ["one", "two"]),
+    ("<p class=x>first<p class=y>second<div>third</div>", ["p.x", "p.y"], ["first", "second"]),
+    ("<table><tr><td>1<td>2<tr><td>3</table>x", ["td", "tbody > tr"], ["12", "1", "2", "3", "3"]),
+    ("<ul><li>a<ul><li>b</ul>c<li>d</ul>", ["ul > li", "li li"], ["abc", "b", "b", "d"]),
+    ("<dl><dt>a<dd>b<dt>c</dl>", ["dt", "dd"], ["a", "b", "c"]),
+    ("<select><option>1<option>2</select>", ["option"], ["1", "2"]),
+    ("<b><p>x</b>y</p>z", ["b", "p"], ["x", "xy"]),
+    ("<table><tr><td></div>q</td></table></div>", ["td"], ["q"]),
+    ("<div/>in", ["div"], ["in"]),
+    ("<a href=1>one<a href=2>two", ["a"], ["one", "two"]),
+])
+def test_end_tags_may_be_left_out(html, selectors, want):
+    assert texts(html, *selectors) == want
+
+
+def test_long_unclosed_lists_take_linear_time():
+    begin = time.perf_counter()
+    found = texts("<nav><ul>" + "<li><a href=/x>i" * 20_000, "nav a", "nav > ul > li a", "li")
+    assert len(found) == 60_000 and time.perf_counter() - begin < 10
