@@ -46,6 +46,22 @@ def _(spark, d):
     return admission.cooled_down(rows, "page", COOLDOWN).select("request_id", "accepted")
 
 
+_ONE = """WITH RECURSIVE one AS (SELECT DISTINCT 'all' AS key, ts AS t FROM lg_requests),
+    {walk} SELECT t, (SELECT max(s) FROM hot_w WHERE s <= t) AS start FROM one"""
+
+
+def _one_key(name: str, span: int) -> None:
+    @check(name, _ONE.format(walk=walk("hot", "one", span)))
+    def _(spark, d):
+        """All requests under one key, walked slot by slot."""
+        times = requests(spark, d).select(F.lit("all").alias("key"), F.col("ts").alias("t")).distinct()
+        return admission.window_starts(times, span, walk_rows=0).select("t", "start")
+
+
+_one_key("stream_t01_hot_key", DAY)
+_one_key("stream_t02_hot_key_short_span", 3_600_000)
+
+
 def known_users(spark, d):
     """A graph that knows the origins of the requesting users, but one in seven."""
     k = F.col("user_id")

@@ -7,13 +7,14 @@ in one task, so its time is cut into slots.
 
 Keys with few requests are walked as they are. For a hot key:
 
-1. per (key, slot): the distinct request times are reduced to a small step function
+1. per (key, slot): the distinct request times are reduced to a step function
    "window open on entry → last window opened in the slot";
-2. per key: the step functions of its slots, a few rows each, are chained to the
-   window open at the entry of every slot;
+2. neighbouring slots are composed in pairs, the pairs again, until one function is left;
+   then back down the tree each half gets the window open at its entry;
 3. per (key, slot): the windows are laid out from that entry.
 
-No task holds more than the distinct milliseconds of one slot.
+A step function has at most one row per distinct millisecond of one span, a slot lasts
+SLOT_MS or two spans, and a group holds one slot or two step functions.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ STATUS = {"uri": 400, "origin": 403, "policy": 403, "verified": 401, "rate": 429
 # --- end of fixed values ---------------------------------------------------------
 
 SLOT_MS = 600_000
-MAX_SLOT_MS = 3_600_000
 # a key with at most this many distinct times is walked as a whole
 WALK_ROWS = 100_000
 _OPEN_END = np.iinfo(np.int64).max
@@ -79,6 +79,48 @@ def _slot_steps(times: np.ndarray, span: int, slot_start: int) -> tuple[np.ndarr
     return upto[keep], last[keep]
 
 
+def _composed(left: tuple, right: tuple, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two neighbouring stretches of time; the left one may keep the entry window open."""
+    upto, last = left
+    ended = last >= 0
+    found = right[1][np.searchsorted(right[0], last[ended] + span, side="right").clip(max=len(right[0]) - 1)]
+    upto_out, last_out = upto[ended], np.where(found >= 0, found, last[ended])
+    if not ended.all():  # entry windows that reach past the left stretch meet the right one
+        beyond = right[0] > (upto_out[-1] if len(upto_out) else -1)
+        upto_out = np.append(upto_out, right[0][beyond])
+        last_out = np.append(last_out, right[1][beyond])
+    keep = np.append(last_out[1:] != last_out[:-1], True)
+    return upto_out[keep], last_out[keep]
+
+
+def _slot_entries(steps: DataFrame, span: int, height: int) -> DataFrame:
+    """(key, node, upto, last) of slots numbered below 2 ** height → (key, node, entry): the window open at each slot."""
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "upto"])
+        parts = [(g["upto"].to_numpy(), g["last"].to_numpy()) for _, g in pdf.groupby("node", sort=True)]
+        upto, last = _composed(*parts, span) if len(parts) == 2 else parts[0]
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "node": int(pdf["node"].iloc[0]) >> 1, "upto": upto, "last": last})
+
+    schema = "key string, node long, upto long, last long"
+    half = F.shiftright("node", 1)
+    levels = [write_once(steps)]
+    for _ in range(height):
+        levels.append(write_once(levels[-1].groupBy("key", half).applyInPandas(pair, schema)))
+    entries = levels.pop().select("key", "node", F.lit(-1).cast("bigint").alias("entry")).distinct()
+    for level in reversed(levels):
+        above = entries.withColumnRenamed("node", "above")
+        rows = level.withColumn("above", half).join(above, ["key", "above"])
+        end = F.when(F.col("entry") >= 0, F.col("entry") + span).otherwise(-1)
+        # what the left half makes of the entry is the entry of the right half
+        left = rows.filter((F.col("node") % 2 == 0) & (F.col("upto") > end))
+        passed = left.groupBy("key", "above").agg(F.min_by("last", "upto").alias("passed"))
+        nodes = rows.select("key", "above", "node", "entry").distinct().join(passed, ["key", "above"], "left")
+        opened = (F.col("node") % 2 == 1) & (F.coalesce("passed", F.lit(-1)) >= 0)
+        entries = write_once(nodes.select("key", "node", F.when(opened, F.col("passed")).otherwise(F.col("entry")).alias("entry")))
+    return entries
+
+
 def window_starts(
     times: DataFrame, span: int, opened: DataFrame | None = None, walk_rows: int = WALK_ROWS
 ) -> DataFrame:
@@ -148,7 +190,7 @@ def _walk(df: DataFrame, keys: list[str], order: str, fn: Callable, schema: str)
 
 
 def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> DataFrame:
-    slot_ms = min(max(SLOT_MS, 10 * span), MAX_SLOT_MS)
+    slot_ms = max(SLOT_MS, 2 * span)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(start=_lay_out(pdf["t"].to_numpy(), -1, span))
@@ -156,19 +198,7 @@ def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> D
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         slot = int(pdf["slot"].iloc[0])
         upto, last = _slot_steps(pdf["t"].to_numpy(), span, slot * slot_ms)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "slot": slot, "upto": upto, "last": last})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slot", "upto"])
-        start, slots, entries = -1, [], []
-        for slot, part in pdf.groupby("slot", sort=True):
-            slots.append(slot)
-            entries.append(start)
-            end = start + span if start >= 0 else -1
-            step = int(np.searchsorted(part["upto"].to_numpy(), end, side="right"))
-            found = int(part["last"].iloc[min(step, len(part) - 1)])
-            start = found if found >= 0 else start
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "slot": slots, "entry": entries})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "node": slot - low, "upto": upto, "last": last})
 
     def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
         start = _lay_out(pdf["t"].to_numpy(), int(pdf["entry"].iloc[0]), span)
@@ -182,12 +212,14 @@ def _fresh_windows(times: DataFrame, span: int, walk_rows: int = WALK_ROWS) -> D
     few = counted.filter((F.col("n") > 1) & (F.col("n") <= walk_rows)).select("key", "t")
     known = single.unionByName(_walk(few, ["key"], "t", whole, schema))
     hot = counted.filter(F.col("n") > walk_rows)
-    if hot.isEmpty():
-        return known
     slotted = hot.select("key", "t", F.floor(F.col("t") / slot_ms).alias("slot"))
+    low, high = slotted.agg(F.min("slot"), F.max("slot")).first()
+    if low is None:
+        return known
     pair = ["key", "slot"]
-    per_slot = _walk(slotted, pair, "t", steps, "key string, slot long, upto long, last long")
-    entries = per_slot.groupBy("key").applyInPandas(chain, "key string, slot long, entry long")
+    per_slot = _walk(slotted, pair, "t", steps, "key string, node long, upto long, last long")
+    entries = _slot_entries(per_slot, span, (high - low).bit_length())
+    entries = entries.select("key", (F.col("node") + low).alias("slot"), "entry")
     cut = _walk(slotted.join(entries, pair), pair, "t", lay_out, schema)
     return known.unionByName(cut)
 
