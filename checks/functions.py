@@ -227,11 +227,11 @@ def _(spark, d):
 
     p = shop_graph(spark, d).pages
     wrap = [{"method": "prefix", "params": "<"}, {"method": "suffix", "params": ">"}]
-    fill = {"method": "default", "params": "none"}
+    fill = [{"method": "default", "params": "none"}]
     return p.select(
         "uri",
         apply_steps(F.col("description"), wrap).alias("wrapped"),
-        F.coalesce(text.non_blank("description"), F.lit(fill["params"])).alias("filled"),
+        apply_steps(F.col("description"), fill).alias("filled"),
     )
 
 
@@ -294,7 +294,11 @@ def _(spark, d):
     return pages(spark, d).select("page_id", urls.first_url(explicit, F.lit("https://ref.example/")).alias("v"))
 
 
-@check("fn_f23_graphemes")
+@check(
+    "fn_f23_graphemes",
+    """SELECT doc_id, length_grapheme(text) AS n,
+       CASE WHEN length_grapheme(text) <= 20 THEN text ELSE left_grapheme(text, 19) || '…' END AS cut FROM documents""",
+)
 def _(spark, d):
     return documents(spark, d).select(
         "doc_id", text.grapheme_count("text").alias("n"), text.truncate_graphemes("text", 20).alias("cut")

@@ -111,9 +111,14 @@ def _(spark, d):
     return listings.domain_summary(listings.domain_annotations(shop_graph(spark, d), "c7"))
 
 
-@check("agg_a11_last_indexed", "SELECT uri, max(indexed) AS indexed FROM lg_pages GROUP BY uri")
+@check("agg_a11_last_indexed", "SELECT uri, max(indexed) + 5 AS indexed FROM lg_pages GROUP BY uri")
 def _(spark, d):
-    return shop_graph(spark, d).pages.groupBy("uri").agg(F.max("indexed").alias("indexed"))
+    """Every page is harvested twice, the second time 5 ms later."""
+    from linkloom.operators.ingest import latest_pages
+
+    first = shop_graph(spark, d).pages.withColumn("type", F.lit(None).cast("string")).withColumn("ts", F.lit(1))
+    again = first.withColumn("indexed", F.col("indexed") + 5).withColumn("ts", F.lit(2))
+    return latest_pages(first.unionByName(again)).select("uri", "indexed")
 
 
 # --- listings ----------------------------------------------------------------------
@@ -241,7 +246,17 @@ def _(spark, d):
     return rings.neighbours(shop_graph(spark, d).ring_members)
 
 
-@check("win_n03_random_ring_site")
+_AROUND = """m AS (SELECT DISTINCT ring, origin, md5(origin) AS rank FROM lg_ring_members),
+    n AS (SELECT ring, origin,
+      coalesce(lag(origin) OVER w, last_value(origin) OVER f) AS previous,
+      coalesce(lead(origin) OVER w, first_value(origin) OVER f) AS next FROM m
+      WINDOW w AS (PARTITION BY ring ORDER BY rank, origin),
+        f AS (PARTITION BY ring ORDER BY rank, origin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@check("win_n03_random_ring_site", f"""WITH {_AROUND}
+    SELECT ring, origin, previous, next, (SELECT arg_min(m.origin, md5(m.origin || ' 7')) FROM m WHERE m.ring = n.ring
+      AND m.origin NOT IN (n.previous, n.origin, n.next)) AS random FROM n""")
 def _(spark, d):
     return rings.random_sites(shop_graph(spark, d).ring_members, seed=7)
 

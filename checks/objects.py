@@ -148,14 +148,13 @@ def _(spark, d):
 
 @check("win_n06_first_subtype", """
     SELECT event_type AS dst, arg_min(kind, event_id) AS subtype FROM (
-      SELECT *, CASE event_id % 3 WHEN 0 THEN 'Cite' WHEN 1 THEN 'Bookmark' ELSE 'Link' END AS kind FROM events
-      WHERE event_id > 1) GROUP BY event_type""")
+      SELECT *, CASE event_id % 3 WHEN 0 THEN 'Cite' WHEN 1 THEN 'Bookmark' ELSE 'Link' END AS kind FROM events) GROUP BY event_type""")
 def _(spark, d):
     from linkloom.operators.ingest import mentions
     from linkloom.sources.shop_graph import read
 
     k = F.col("event_id")
-    rows = read(spark, d, "events").filter(k > 1).select(
+    rows = read(spark, d, "events").select(
         F.lit("https://x.example").alias("src"), F.lit("mention").alias("kind"),
         F.when(k % 3 == 0, "cite").when(k % 3 == 1, "bookmark").otherwise("link").alias("type"),
         F.col("event_type").alias("dst"), F.lit(None).cast("array<string>").alias("terms"), k.alias("pos"),
@@ -163,22 +162,33 @@ def _(spark, d):
     return mentions(rows).select("dst", "subtype")
 
 
-@check("set_u03_harvested_sections", "SELECT page_id, 3 AS n FROM pages")
+@check("set_u03_harvested_sections", """
+    SELECT url AS src, unnest(['tag', 'mention', 'endorse']) AS kind,
+      unnest(['t' || page_id, 'https://b.example/' || page_id, 'https://d.example']) AS dst FROM pages""")
 def _(spark, d):
+    """Tags and the links of two sections, taken together."""
+    from linkloom.operators.ingest import annotation_rows
     from linkloom.sources.shop_graph import read
 
-    parts = [F.array(F.col("url")), F.array(F.length("html").cast("string")), F.array(F.lit("x"))]
-    return read(spark, d, "pages").select("page_id", F.size(F.concat(*parts)).alias("n"))
+    n = F.col("page_id").cast("string")
+
+    def link(kind, uri):
+        return F.struct(F.lit(kind).alias("type"), uri.alias("uri"), F.lit(None).cast("array<string>").alias("terms"))
+
+    links = F.array(link("link", F.concat(F.lit("https://b.example/"), n)), link("endorse", F.lit("https://d.example")))
+    rows = read(spark, d, "pages").select(
+        F.col("url").alias("id"), F.array(F.concat(F.lit("t"), n)).alias("tags"), links.alias("links"))
+    return annotation_rows(rows).select("src", "kind", "dst")
 
 
 @check("set_u04_new_minus_known", """
-    SELECT DISTINCT dst AS origin FROM lg_ring_links WHERE contains(src, '/n/3') AND dst NOT IN
+    SELECT DISTINCT dst AS origin FROM lg_ring_links WHERE contains(src, '/n/') AND dst NOT IN
       (SELECT origin FROM lg_ring_members)""")
 def _(spark, d):
     from linkloom.operators.ingest import new_rows
     from linkloom.sources.shop_graph import ring_links
 
-    found = ring_links(spark, d).filter(F.col("src").contains("/n/3"))
+    found = ring_links(spark, d).filter(F.col("src").contains("/n/"))
     return new_rows(found.select(F.col("dst").alias("origin")).distinct(), shop_graph(spark, d).ring_members, ["origin"])
 
 

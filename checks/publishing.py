@@ -11,6 +11,7 @@ from linkloom.operators.page_objects import assemble, get_objects
 from linkloom.plans.spec import QuerySpec
 from linkloom.sinks import feeds
 from linkloom.sinks.projection import project
+from linkloom.sinks.results import json_results
 from linkloom.sinks.registry import DOCUMENT, RSS_ITEM, SHORT_POST, SITE_DOCUMENT, Publishers
 from linkloom.sources.shop_graph import INSTANCE, shop_graph
 
@@ -147,11 +148,17 @@ def _(spark, d):
 
 @check(
     "sink_k11_json_results",
-    """SELECT to_json({'uri': uri, 'title': title}) AS value FROM lg_pages""",
+    """SELECT CAST(to_json({'uri': uri, 'description': description}) AS VARCHAR) AS value, false AS opens FROM lg_pages
+       WHERE uri <> (SELECT min(uri) FROM lg_pages)
+       UNION ALL SELECT CAST(to_json({'uri': uri, 'description': description}) AS VARCHAR), true FROM lg_pages
+       WHERE uri = (SELECT min(uri) FROM lg_pages)
+       UNION ALL SELECT ']}', false""",
 )
 def _(spark, d):
-    pages = shop_graph(spark, d).pages
-    return pages.select(F.to_json(F.struct("uri", "title")).alias("value"))
+    """Each line of the document without the bracket or comma before it."""
+    lines = json_results(shop_graph(spark, d).pages.select("uri", "description"), F.col("uri"))
+    mark = r'^(\{"results":\[|,)'
+    return lines.select(F.regexp_replace("value", mark, "").alias("value"), F.startswith("value", F.lit('{"results"')).alias("opens"))
 
 
 @check(

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("functions", "edges", "objects", "listings", "publishing", "harvest", "ingest", "streams")
+_MODULES = ("functions", "edges", "objects", "listings", "publishing", "harvest", "ingest", "streams", "contracts")
 
 
 def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:

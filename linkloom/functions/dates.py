@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 
 RECENT_MS = 1_209_600_000  # two weeks
 DAY_MS = 86_400_000
-RANGE_HELP = "Invalid time filter. Use: recent, after-DATE, before-DATE, or between-DATE-and-DATE"
+RANGE_HELP = "A time range is one of: recent, after-DATE, before-DATE, between-DATE-and-DATE"
+_DAY = r"^\d{1,2} [A-Z][a-z]{2} \d{4}"
+_MONTH = r"^[A-Z][a-z]{%s} \d{1,2}, \d{4}"
+#: shapes of date texts beyond ISO, with their patterns
+_FORMS = (
+    (_DAY + r" \d{2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM yyyy HH:mm:ss xx"),
+    (_DAY + r" \d{2}:\d{2}:\d{2}$", "d MMM yyyy HH:mm:ss"),
+    (_DAY + "$", "d MMM yyyy"),
+    (_MONTH % "2" + "$", "MMM d, yyyy"),
+    (_MONTH % "2,8" + "$", "MMMM d, yyyy"),
+    (_MONTH % "2,8" + r" \d{2}:\d{2}:\d{2}$", "MMMM d, yyyy HH:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+)
 
 
 def _c(col: Column | str) -> Column:
@@ -24,11 +37,13 @@ def ms(col: Column | str) -> Column:
 
 
 def parse_date_ms(col: Column | str) -> Column:
-    """Digits pass through, ISO dates are read as UTC, anything else is NULL."""
+    """Digits pass through; ISO, mail and written dates are read, as UTC without a zone; anything else is NULL."""
     text = F.trim(_c(col))
-    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")).otherwise(
-        F.unix_millis(F.try_to_timestamp(text))
-    )
+    # "Wed, 01 May 2024 10:00:00 GMT": the day's name adds nothing, names of UTC become an offset
+    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*", ""), r"\s+(GMT|UTC?|Z)$", " +0000")
+    tries = [F.try_to_timestamp(text)]
+    tries += [F.try_to_timestamp(F.when(plain.rlike(shape), plain), F.lit(form)) for shape, form in _FORMS]
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")).otherwise(F.unix_millis(F.coalesce(*tries)))
 
 
 def format_date(col: Column | str, style: str = "iso8601") -> Column:

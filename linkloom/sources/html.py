@@ -142,6 +142,8 @@ def harvest_html(
     links = F.array().cast(LINKS)
     subject_id = F.lit("source")
     for section, body in schema.items():
+        if not body:
+            continue
         if section in ("subject", "documentRecord"):
             for prop, prop_rules in body.items():
                 if prop == "s":
