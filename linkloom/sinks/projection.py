@@ -95,12 +95,12 @@ def project(df: DataFrame, schema: Mapping[str, Mapping[str, Any]], now_ms: int
 def resolver_error(resolver: Any) -> str | None:
     """First thing wrong with a publisher schema document, None when it is usable."""
     if not isinstance(resolver, Mapping):
-        return "Resolver must be a JSON object"
+        return "resolver: expected an object"
     for name in ("@context", "@id"):
         if not resolver.get(name):
-            return f"Resolver must have {name}"
+            return f"{name}: missing"
     if not isinstance(resolver.get("schema"), Mapping):
-        return "Resolver must have schema object"
+        return "schema: expected an object"
     meta = resolver.get("meta") or {}
     texts = {"@context": resolver["@context"], "@id": resolver["@id"]}
     if len(json.dumps(meta, separators=(",", ":"), ensure_ascii=False)) > MAX_META_BYTES:

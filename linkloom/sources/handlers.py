@@ -31,9 +31,9 @@ class Handlers:
 
     def register(self, mode: str, content_types: Sequence[str], harvest: Harvest) -> None:
         if mode in self._builtin:
-            raise ValueError(f'Handler "{mode}" is already registered as a built-in')
+            raise ValueError(f"{mode}: a built-in handler cannot be replaced")
         if not mode or not content_types or not callable(harvest):
-            raise ValueError("Handler must have a mode, content types and a harvest function")
+            raise ValueError("handler: a mode, content types and a harvest function are needed")
         self._modes[mode] = (tuple(content_types), harvest)
 
     def get(self, mode: str) -> Harvest | None:

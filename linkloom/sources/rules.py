@@ -119,7 +119,7 @@ class RuleSets:
 
     def get(self, name: str) -> dict[str, Any]:
         if not name or not isinstance(name, str):
-            raise ValueError("Invalid rule set name")
+            raise ValueError("rule set: a name is needed")
         if name not in self._sets:
             raise KeyError(f"Rule set not found: {name}")
         return deepcopy(self._sets[name])
@@ -129,9 +129,9 @@ class RuleSets:
 
     def register(self, name: str, rules: Mapping[str, Any]) -> None:
         if name in self._sets:
-            raise ValueError(f'Rule set "{name}" already exists')
+            raise ValueError(f"{name}: a rule set of this name is known")
         if not rules.get("mode"):
-            raise ValueError("Rule set must have a mode field")
+            raise ValueError("rule set: mode is missing")
         self._sets[name] = dict(rules)
 
     def for_mode(self, mode: str) -> list[str]:

@@ -75,7 +75,7 @@ def test_nested_fields_and_filters(spark):
 def test_registries():
     sets = RuleSets(INSTANCE)
     assert merge({"a": 1, "b": 2}, {"a": {}, "b": 3}) == {"a": 1, "b": 3}
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="is known"):
         sets.register("default", {"mode": "html"})
     with pytest.raises(ValueError, match="mode"):
         sets.register("mine", {})

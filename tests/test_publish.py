@@ -69,7 +69,7 @@ def test_publisher_registry(spark):
     known = Publishers("https://lg.example/")
     with pytest.raises(ValueError, match="built-in"):
         known.register("rss", {})
-    with pytest.raises(ValueError, match="must have"):
+    with pytest.raises(ValueError, match="are needed"):
         known.register("mine", {"schema": {}})
     known.register("mine", {"schema": {"u": {"from": "id"}}, "contentType": "text/plain", "render": lambda d, c: d})
     df = spark.createDataFrame([("u1", "t", 0)], "id string, title string, date long")
