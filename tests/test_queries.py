@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.client import LinkGraph
 from linkloom.operators import listings, page_objects, rings, terms, trust
@@ -71,14 +72,22 @@ def test_objects(client):
     assert client.get("everything", "thorped", o="red", limit="0").select("id").distinct().count() == 2
 
 
-def test_assembled_in_parts_loses_nothing(client):
-    long = client.get("everything", "linked", s="a.example", limit=0)
-    whole = assemble(long).collect()
-    parts = assemble(long, chunk=1).collect()
+def test_assembled_objects_lose_nothing(client):
+    whole = assemble(client.get("everything", "linked", s="a.example", limit=0)).collect()
     assert len(whole) == 2
-    for got in (whole, parts):
-        flat = {(r.id, t) for r in got for t in r.tags} | {(r.id, x.uri) for r in got for x in r.links}
-        assert len(flat) == 6
+    assert len({(r.id, t) for r in whole for t in r.tags} | {(r.id, x.uri) for r in whole for x in r.links}) == 6
+
+
+def test_a_page_with_many_tags_is_one_item_and_one_record(spark, small):
+    page, term = "https://a.example/1", "https://lg.example/~/n"
+    many = spark.range(2500).select(
+        F.lit(page).alias("src"), F.concat(F.lit(term), "id").alias("dst"), F.lit("term").alias("kind"), F.lit(11).cast("long").alias("ts"))
+    client = LinkGraph(small.with_tables(edges=many))
+    found = client.get("everything", "posted", s=page, limit=0)
+    lines = [r.value for r in client.publish(found, "rss").collect()]
+    assert sum(line.startswith("<item>") for line in lines) == 1
+    records = client.prepare(found, "siteDocument").collect()
+    assert len(records) == 1 and len(records[0].record.tags) == 2500
 
 
 def test_terms_and_rollup(client, small):
