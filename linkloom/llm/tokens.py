@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -19,8 +20,8 @@ END_ID = 1
 CHUNKS_HELD = 200_000
 WORDS_HELD = 200_000
 
-#: fixed value: the word pattern of the tokenizer file
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: fixed value: the word pattern of the tokenizer file, for texts all of whose characters are known to be plain
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|[_\x1c-\x1f])+")
 
 
 def default_tokenizer() -> str:
@@ -30,9 +31,10 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Remembers the ids of text chunks between white space, as little-endian 32-bit bytes.
+    """Remembers the ids of lower-case chunks between white space, as little-endian 32-bit bytes.
 
     New words are encoded together, joined by spaces; their ids are told apart by the mark of a word's last token.
+    Texts that Python might lower-case or split in another way than the tokenizer are left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -42,6 +44,7 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.plain_chars: set[str] = {chr(c) for c in range(128)}
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -49,29 +52,41 @@ class WordTokenizer:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        if any(s in text for s in self.special):  # such a token ends words inside a chunk
+        if any(s in text for s in self.special):  # such a token ends words early and has an id of its own
             return self.plain(text)
+        normal = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if not (normal.isascii() or self._all_plain(normal)):
+            return self.plain(text)
+        chunks = normal.lower().encode().split()
         held = self.chunks
-        new = {c for c in chunks if c not in held}
+        new = set(chunks).difference(held)
         if not new:
-            return b"".join([held[c] for c in chunks])
+            return b"".join(map(held.__getitem__, chunks))
         found = self._new_chunks(new)
         if len(held) + len(found) <= CHUNKS_HELD:
             held.update(found)
-            return b"".join([held[c] for c in chunks])
-        return b"".join([held[c] if c in held else found[c] for c in chunks])
+            return b"".join(map(held.__getitem__, chunks))
+        return b"".join([found[c] if c in found else held[c] for c in chunks])
 
     def _new_chunks(self, new: set[bytes]) -> dict[bytes, bytes]:
-        normal = self.model.normalizer.normalize_str
-        parts = {c: _WORDS.findall(normal(c.decode())) for c in new}
+        parts = {c: _WORDS.findall(c.decode()) for c in new}
         words = self.words
-        missing = list({w for ws in parts.values() for w in ws if w not in words})
+        missing = list({w for ws in parts.values() for w in ws}.difference(words))
         found = dict(zip(missing, self._new_words(missing), strict=True)) if missing else {}
         if len(words) + len(found) <= WORDS_HELD:
             words.update(found)
             found = {}
-        return {c: b"".join([words[w] if w in words else found[w] for w in ws]) for c, ws in parts.items()}
+        return {c: b"".join([found[w] if w in found else words[w] for w in ws]) for c, ws in parts.items()}
+
+    def _all_plain(self, text: str) -> bool:
+        """Whether Python and the tokenizer agree on each character's lower case and kind."""
+        for c in set(text).difference(self.plain_chars):
+            if c == "\u03a3" or self.model.normalizer.normalize_str(c) != c.lower():  # sigma: lower case by place
+                return False
+            if unicodedata.category(c) == "Cn" or c.isspace() or (c.isnumeric() and not c.isalpha()):
+                return False
+            self.plain_chars.add(c)
+        return True
 
     def _new_words(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")

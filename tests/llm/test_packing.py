@@ -7,7 +7,7 @@ import public_tokenizers
 from conftest_llm import table
 from tokenizers import Tokenizer
 
-from linkloom.llm import packing, token_output
+from linkloom.llm import packing, token_output, tokens
 from linkloom.llm.tokens import WordTokenizer, default_tokenizer
 
 MODEL = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -117,3 +117,29 @@ def test_packed_ids_of_odd_rows(spark, odd):
     assert sum(r["n_tokens"] for r in packed) == sum(len(ids_of(r["text"])) for r in odd.collect())
     one = token_output.packed_ids(table(spark, [None])).first()
     assert one["n_tokens"] == 1 and one["doc_ids"] == [0]
+
+
+HARD_TEXTS = [
+    "", "   ", "a b  z", "x̸y <|ENDOFTEXT|> q", "ẞß İ Σας ΑΣ", "a\x1cb\x85c", "k" * 5000 + " " + "É" * 300,
+    "it's 'S'S don't 12345", "é ́ é", "<|endoftext|>x y", "Å ﬁ \U0001f600 ﷺ", "x² ½ Ⅷ ٣", "a_b__c #_$ \x1f",
+    "日本語 テスト، עברית", "a<|StartOfText|>b",
+]
+
+
+def test_remembered_words_give_the_tokenizers_own_ids():
+    """Lower case by place, odd white space, digits of all kinds, special tokens, composed letters; also when caches are full."""
+    rng = random.Random(5)
+    letters = "aB'sé́  \nΣ1<|>_\x1d²"
+    texts = HARD_TEXTS + ["".join(rng.choice(letters) for _ in range(40)) for _ in range(300)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(97, 122)])) for _ in range(9)) for _ in range(300)]
+    own = WordTokenizer(default_tokenizer())
+    for text in texts + texts:
+        assert own.encode(text) == own.plain(text), text
+
+
+def test_full_caches_change_no_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNKS_HELD", 2)
+    monkeypatch.setattr(tokens, "WORDS_HELD", 2)
+    own = WordTokenizer(default_tokenizer())
+    for text in ["one two", "one, two three", "four five! four", "one six two"] * 2:
+        assert own.encode(text) == own.plain(text), text
