@@ -124,6 +124,41 @@ def test_repeated_spans_equal_brute_force(spark, odd, empty):
     assert sentences.repeated_spans(empty).count() == 0 and sentences.without_repeats(odd).count() == odd.count()
 
 
+def test_every_repeated_window_of_50_words_is_found(spark):
+    """Against brute force; a passage whose ends stand inside sentences may keep less than a clause at each of them."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"k{rng.integers(90_000)}" for _ in range(n)]
+    endless, tail, inner = words(50), words(30), " ".join(words(70))
+    texts = [" ".join([*words(40), *endless, *words(35)]) for _ in range(6)]  # one long sentence
+    texts += [" ".join(words(25)) + ". " + " ".join(tail) + ". Short tail here. " + " ".join(words(30)) + "." for _ in range(4)]
+    texts += [f"{' '.join(words(9))} {inner} {' '.join(words(12))}. {' '.join(words(25))}." for _ in range(4)]
+    signs = lambda n: "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9FA5, n))
+    han = "\u3002".join(signs(14) for _ in range(6)) + "\u3002"
+    texts += [signs(20) + "\u3002" + han + signs(30) + "\u3002" for _ in range(3)]
+    hindi = " ".join(" ".join(words(8)) + "\u0964" for _ in range(4))
+    texts += [" ".join(words(6)) + "\u0964 " + hindi + " " + " ".join(words(40)) + "\u0964" for _ in range(3)]
+    spans = {}
+    for r in sentences.repeated_spans(table(spark, texts)).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert not spans.keys() & {0, 6, 10, 14, 17} and spans.keys() == set(range(20)) - {0, 6, 10, 14, 17}
+    seen = {}
+    for i, text in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"[^ ]+", text)]
+        repeated = set()
+        for k in range(len(at) - 49):
+            window = text[at[k][0] : at[k + 49][1]]
+            if seen.setdefault(window, i) != i:
+                repeated |= set(range(k, k + 50))
+        if repeated:
+            left = [k for k in repeated if not spans[i] >= set(range(*at[k]))]
+            lo, hi = min(repeated) + sentences.CLAUSE - 1, max(repeated) - sentences.CLAUSE + 1
+            assert all(k < lo or k > hi for k in left), i
+    for i in range(7, 10):
+        assert {*range(texts[i].index(tail[0]), texts[i].index("Short tail here.") + 16)} <= spans[i]
+    assert all({*range(texts[i].index(han), texts[i].index(han) + len(han))} <= spans[i] for i in (15, 16))
+    assert all({*range(texts[i].index(hindi), texts[i].index(hindi) + len(hindi))} <= spans[i] for i in (18, 19))
+
+
 # url rules
 def plain_rule(host, path):
     fits = [r for r in url_rules.LIST if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
