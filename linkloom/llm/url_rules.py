@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import stored
 
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.005, 0.9, 3
+#: MIN_COUNT: labelled URLs that a rule must hold for, whatever the size of the table
+MIN_COUNT, MIN_CONFIDENCE, MOST_TOKENS = 10, 0.9, 3
 _LABEL = "label "
 
 
@@ -77,10 +78,13 @@ def url_tokens() -> Column:
 def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules (tokens, label, confidence, support) and token counts from rows (tokens, label).
 
-    A rule names a label other than `other`, which marks the URLs that nobody judged; they count against a rule.
+    A rule needs MIN_COUNT rows. It names a label other than `other`; rows given that label count against a rule.
     """
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    baskets = stored(baskets, "baskets")
+    # half a count less, so that rounding up the product never asks for one more
+    support = min(1.0, (MIN_COUNT - 0.5) / max(1, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
     sets = stored(model.freqItemsets, "itemsets")
     label = F.filter("items", lambda t: F.startswith(t, F.lit(_LABEL)))
     rest = F.array_sort(F.filter("items", lambda t: ~F.startswith(t, F.lit(_LABEL))))
@@ -111,7 +115,7 @@ def judged_urls(pages: DataFrame, rules: tuple[ListRule, ...] = LIST, default: s
     """page_id, host, path, rule, verdict, mined for each row of (page_id, url).
 
     A fitting list rule decides. Other URLs get the label of the best mined rule, else `default`. The list's verdicts
-    are the labels to mine from, with the URLs it does not reach as `other`. Null and odd URLs have empty host and path.
+    are the labels to mine from; URLs that it does not reach are held out. Null and odd URLs have empty host and path.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -121,7 +125,7 @@ def judged_urls(pages: DataFrame, rules: tuple[ListRule, ...] = LIST, default: s
     for rule in rules:
         verdicts = F.when(F.col("rule") == rule.name, F.lit(rule.verdict)).otherwise(verdicts)
     open_sets = rows.where("rule is null").select("tokens").distinct()
-    best = matched(open_sets, *mine(rows.select("tokens", F.coalesce(verdicts, F.lit("other")).alias("label"))))
+    best = matched(open_sets, *mine(rows.where("rule is not null").select("tokens", verdicts.alias("label"))))
     return rows.join(best, "tokens", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce(verdicts, "mined", F.lit(default)).alias("verdict"),

@@ -191,6 +191,21 @@ def test_mined_rules_decide_where_no_listed_one_fits(spark):
     assert {tuple(r["tokens"]): r["mined"] for r in url_rules.matched(sets, rules, counts).collect()} == {("b", "z"): "block", ("d",): "allow"}
 
 
+def test_open_urls_do_not_count_against_mined_rules(spark):
+    urls = [f"http://a{i}.example.com/en/casino/{i}" for i in range(30)] + [f"http://b{i}.shop.com/ok/{i}" for i in range(30)]
+    urls += [f"http://c{i}.org/casino/{i}" for i in range(900)] + [f"http://d{i}.org/plain/{i}" for i in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    mined = {r["page_id"]: r["mined"] for r in url_rules.judged_urls(pages).collect()}
+    assert {mined[i] for i in range(60)} == {None} and {mined[i] for i in range(60, 960)} == {"block"}
+    assert {mined[i] for i in range(960, 970)} == {None}
+
+
+def test_support_is_a_count_at_any_size(spark):
+    rows = [(["rare"], "block")] * url_rules.MIN_COUNT + [(["less"], "block")] * (url_rules.MIN_COUNT - 1) + [(["x"], "allow")] * 5000
+    rules, _ = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert {(r["tokens"][0], r["support"]) for r in rules.collect()} == {("rare", url_rules.MIN_COUNT), ("x", 5000)}
+
+
 def test_every_query_of_the_folder_runs_and_agrees_with_sql(spark):
     from checks.compare import database, rows_of
 
