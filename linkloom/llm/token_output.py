@@ -1,6 +1,6 @@
 """Packed token ids for training: matrices of ids with segment lengths and position resets.
 
-Pieces are dealt into blocks by a hash. In a block, best-fit-decreasing places each piece, longest first, in the open
+Pieces are dealt into blocks by a hash of their number. In a block, best-fit-decreasing places each piece, longest first, in the open
 row with the least room that is enough; a segment tree over the amounts of room finds it.
 """
 
@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import stored
 from linkloom.llm.tokens import token_pieces
 
 CAPACITY = 4096
-#: pieces of a block on average; at most 16 KB of ids each
+#: pieces of a block on average, however they are spread over rows; at most 16 KB of ids each
 BLOCK = 6_000
 PAD = 0
 
@@ -85,9 +86,10 @@ def packed_ids(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str |
     where positions start again at 0. doc_ids, pieces and starts tell which ids of which document a segment holds; cut
     documents come back whole by joining their pieces. Null and empty texts are one end id. No rows give none.
     """
-    n_blocks = max(1, -(-docs.count() // BLOCK))
     pieces = token_pieces(docs, capacity, tokenizer_path, with_ids=True).drop("ids_crc32")
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(n_blocks)))
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    n_blocks = max(1, -(-pieces.count() // BLOCK))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks))).drop("row")
     return dealt.groupBy("block").applyInArrow(lambda rows: _fill(rows, capacity), _DDL)
 
 

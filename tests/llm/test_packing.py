@@ -119,6 +119,15 @@ def test_packed_ids_of_odd_rows(spark, odd):
     assert one["n_tokens"] == 1 and one["doc_ids"] == [0]
 
 
+def test_packed_blocks_go_by_pieces_whatever_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "BLOCK", 20)
+    for docs in (table(spark, ["word " * 6000]), table(spark, ["same text"] * 400, [None] * 400)):
+        pieces = defaultdict(int)
+        for r in token_output.packed_ids(docs, 16).collect():
+            pieces[r["sequence_id"] >> 20] += len(r["pieces"])
+        assert sum(pieces.values()) >= 375 and len(pieces) >= 15 and max(pieces.values()) <= 50
+
+
 HARD_TEXTS = [
     "", "   ", "a b  z", "x̸y <|ENDOFTEXT|> q", "ẞß İ Σας ΑΣ", "a\x1cb\x85c", "k" * 5000 + " " + "É" * 300,
     "it's 'S'S don't 12345", "é ́ é", "<|endoftext|>x y", "Å ﬁ \U0001f600 ﷺ", "x² ½ Ⅷ ٣", "a_b__c #_$ \x1f",
