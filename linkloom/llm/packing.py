@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm.
 
-Pieces are dealt into blocks of about BLOCK by a hash, so every block has the same mix of lengths whatever the
+Pieces are numbered once and dealt into blocks of about BLOCK by a hash of the number, so every block has the same mix of lengths whatever the
 corpus. On each block several islands evolve a few packings. A packing is a list of bins; a crossover injects
 whole well-filled bins of one parent into the other, removes the bins that hold the same pieces again, and
 best-fits what that displaces. After each epoch an island's best packing moves to the next island. Bins of the
@@ -30,7 +30,7 @@ GENERATIONS = 4
 #: a bin filled to this share is settled at once
 WELL_FILLED = 0.995
 
-_ITEM = "struct<length: bigint, doc_id: bigint, piece: int, start: bigint, ids_crc32: bigint>"
+_ITEM = "struct<length: bigint, doc_id: bigint, piece: int, start: bigint, ids_crc32: bigint, row: bigint>"
 _STATE = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())),
                     ("members", pa.list_(pa.list_(pa.int32())))])
 
@@ -40,14 +40,15 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: st
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one piece of
     length 1. Repeated rows are packed each on its own. An empty table gives no rows. Equal lengths are told apart
-    by doc_id, piece and start.
+    by doc_id, piece and start, then by the row.
     """
     return pack_pieces(token_pieces(docs, capacity, tokenizer_path), capacity)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places for rows (doc_id, piece, start, length, ids_crc32) with 0 < length <= capacity."""
-    rest, level, done = stored(pieces, "pieces"), 0, []
+    # rows may be alike in all columns, so each gets a number that stays
+    rest, level, done = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces"), 0, []
     left = rest.count()
     while True:
         n_blocks = max(1, -(-left // BLOCK))
@@ -72,9 +73,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _pack_level(pieces: DataFrame, n_blocks: int, capacity: int, level: int) -> DataFrame:
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(level)), F.lit(n_blocks))
+    deal = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(n_blocks))
     items = stored(
-        pieces.select(deal.alias("block"), F.struct("length", "doc_id", "piece", "start", "ids_crc32").alias("item"))
+        pieces.select(deal.alias("block"), F.struct("length", "doc_id", "piece", "start", "ids_crc32", "row").alias("item"))
         .groupBy("block")
         .agg(F.sort_array(F.collect_list("item"), asc=False).alias("items")),
         "blocks",
@@ -113,7 +114,7 @@ def _evolve(state: DataFrame, capacity: int, level: int) -> DataFrame:
 
 def _places(best: DataFrame, level: int) -> DataFrame:
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in
-                        ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill")])
+                        ("doc_id", "piece", "start", "length", "ids_crc32", "row", "sequence_id", "offset", "fill")])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -132,7 +133,7 @@ def _places(best: DataFrame, level: int) -> DataFrame:
                 for at in range(0, len(out), 10_000):
                     yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=schema)
 
-    return best.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+    return best.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long, "
                                 "sequence_id long, offset long, fill long")
 
 

@@ -128,6 +128,17 @@ def test_packed_blocks_go_by_pieces_whatever_the_rows(spark, monkeypatch):
         assert sum(pieces.values()) >= 375 and len(pieces) >= 15 and max(pieces.values()) <= 50
 
 
+def test_packing_deals_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 20)
+    rows = [(None, 0, 0, 7, 0)] * 300 + [(5, 0, 0, 9, 0)] * 100
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    blocks, fill = defaultdict(int), defaultdict(int)
+    for r in packing.pack_pieces(pieces, 16).collect():
+        blocks[r["sequence_id"] >> 20] += 1
+        fill[r["sequence_id"]] += r["length"]
+    assert sum(blocks.values()) == 400 and max(blocks.values()) <= 50 and max(fill.values()) <= 16
+
+
 HARD_TEXTS = [
     "", "   ", "a b  z", "x̸y <|ENDOFTEXT|> q", "ẞß İ Σας ΑΣ", "a\x1cb\x85c", "k" * 5000 + " " + "É" * 300,
     "it's 'S'S don't 12345", "é ́ é", "<|endoftext|>x y", "Å ﬁ \U0001f600 ﷺ", "x² ½ Ⅷ ٣", "a_b__c #_$ \x1f",
