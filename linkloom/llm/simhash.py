@@ -18,7 +18,9 @@ from linkloom.llm.trie import trie_links
 
 SEED = 42
 #: for groups by similarity: bits of a fingerprint, and the share of pairs at the similarity itself that meet
-WIDE_BITS, REACH = 512, 0.98
+WIDE_BITS, REACH = 512, 0.999
+#: deviations beyond the expected differing bits at which a pair still is a candidate
+MARGIN = 4
 #: random bits that a key of the similarity join has beyond the logarithm of the number of fingerprints
 KEY_BITS_LEAST, KEY_BUDGET = 16, 1
 _BLOCK = 1 << 15
@@ -47,29 +49,92 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFr
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near copy; others have no row.
+    """(doc_id, component_id) of the documents that have a near copy; others stay alone in theirs.
 
-    Two documents link when the Jaccard similarity of their shingles, as their wide SimHash fingerprints show it,
-    reaches `similarity`. Keys of a few sampled bits find the pairs: `KEY_BUDGET` of them may differ, and there are as
-    many keys as bring pairs at the similarity itself together with probability REACH. Rows without an id or without
-    words stay alone.
+    Two documents link when the Jaccard similarity of their sets of shingles reaches `similarity`. Keys of a few sampled
+    bits of wide SimHash fingerprints of the sets bring candidates together: `KEY_BUDGET` of them may differ, and there
+    are as many keys as bring pairs at the similarity itself together with probability REACH. A first walk finds the
+    documents that have a candidate, by fingerprints alone; a second one over just those compares the sets. Rows without
+    an id or without words are left out.
     """
-    prints = fingerprints(docs, shingle, WIDE_BITS).where("doc_id is not null and has_words").select("doc_id", "print")
-    wide = stored(prints, "wide")
-    first = stored(wide.groupBy("print").agg(F.min("doc_id").alias("item")), "wide-classes")
+    wide = stored(_wide_prints(docs, shingle), "wide")
+    first = stored(wide.groupBy("item").agg(F.min("print").alias("print")), "wide-classes")
     width, tables = key_plan(first.count(), similarity)
     p = differing_share(similarity)
-    most = int(WIDE_BITS * p + math.sqrt(WIDE_BITS * p * (1 - p)))  # one deviation more, for pairs at the similarity itself
-    keys = _sampled_keys(first, width, tables)
+    most = int(WIDE_BITS * p + MARGIN * math.sqrt(WIDE_BITS * p * (1 - p)))
 
-    def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= most
 
-    roots = components(trie_links(keys, width, KEY_BUDGET, accept))
-    member = first.join(roots, first["item"] == roots["node"], "left").select(
-        "print", F.coalesce("root", "item").alias("component_id")
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.fromiter((_alike(a, b, most, similarity) for a, b in zip(x, y)), bool, len(x))
+
+    found = trie_links(_sampled_keys(first.select("print", "item", F.col("print").alias("payload")), width, tables),
+                       width, KEY_BUDGET, near)
+    some = stored(found.select(F.explode(F.array("u", "v")).alias("item")).distinct(), "candidates")
+    ids = wide.join(some, "item").groupBy("item").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    texts = doc_texts(docs)
+    texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
+    sets = _sets(texts, shingle).dropDuplicates(["item"]).join(some, "item", "left_semi")
+    sets = stored(sets.select("print", "item", F.concat("print", "hashes").alias("payload")), "sets")
+    roots = components(trie_links(_sampled_keys(sets, width, tables), width, KEY_BUDGET, alike, ragged=True))
+    member = wide.join(roots, wide["item"] == roots["node"], "left").select(
+        "doc_id", F.coalesce("root", "item").alias("root")
     )
-    return wide.join(member, "print").select("doc_id", "component_id")
+    lowest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return member.join(lowest, "root").select("doc_id", "component_id")
+
+
+def _alike(a: bytes, b: bytes, most: int, similarity: float) -> bool:
+    """Whether the sets behind the fingerprints of both reach the similarity."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    head = WIDE_BITS // 64
+    n, m = len(x) - head, len(y) - head
+    if min(n, m) < similarity * max(n, m) or np.bitwise_count(x[:head] ^ y[:head]).sum() > most:
+        return False
+    both = len(np.intersect1d(x[head:], y[head:], assume_unique=True))
+    return both >= similarity * (n + m - both)
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text, in order; none without words."""
+    parts = [hashes for hashes, _ in _hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def set_print(hashes: np.ndarray) -> bytes:
+    """A bit is set when it is set in over half the members' hashes, each counted once."""
+    counts = np.zeros(WIDE_BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        counts += _bit_counts(hashes[at : at + _BLOCK], WIDE_BITS)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.astype("<u8").tobytes(), seed=SEED), "big", signed=True)
+
+
+def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, item (equal for equal sets), print of the rows with an id and with words."""
+    return _sets(doc_texts(docs).where("doc_id is not null"), shingle, with_hashes=False)
+
+
+def _sets(texts: DataFrame, shingle: int, with_hashes: bool = True) -> DataFrame:
+    fields = [("doc_id", pa.int64()), ("item", pa.int64()), ("print", pa.binary())] + [("hashes", pa.binary())] * with_hashes
+    schema = pa.schema(fields)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out: list[list] = [[] for _ in fields]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_set(text.as_py(), shingle)
+                if len(hashes):
+                    values = (doc, _set_id(hashes), set_print(hashes), hashes.astype("<u8").tobytes() if with_hashes else b"")
+                    for column, value in zip(out, values):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, item long, print binary" + ", hashes binary" * with_hashes)
 
 
 def differing_share(similarity: float) -> float:
@@ -111,10 +176,18 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
 
 def fingerprint(text: str, shingle: int, bits: int) -> tuple[bytes, bool]:
     """A bit is set when it is set in over half the shingles' hashes; the first 64 are those of XXH64 itself."""
+    counts, n = np.zeros(bits, dtype=np.int64), 0
+    for hashes, n in _hashes(text, shingle):
+        counts += _bit_counts(hashes, bits)
+    return np.packbits(2 * counts > n).tobytes(), n > 0
+
+
+def _hashes(text: str, shingle: int) -> Iterator[tuple[np.ndarray, int]]:
+    """XXH64 of each shingle, a block at a time, and how many there are in all; none without words."""
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts words
     n = len(words)
     if not n:
-        return bytes(bits // 8), False
+        return
     joined, hash64 = b" ".join(words), partial(xxhash.xxh64_intdigest, seed=SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
@@ -122,12 +195,9 @@ def fingerprint(text: str, shingle: int, bits: int) -> tuple[bytes, bool]:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[: n - shingle + 1], ends[shingle - 1 :]
-    total, counts = len(starts), np.zeros(bits, dtype=np.int64)
-    for at in range(0, total, _BLOCK):  # bounded memory for very long texts
+    for at in range(0, len(starts), _BLOCK):  # bounded memory for very long texts
         cuts = zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())
-        hashes = np.array([hash64(joined[a:b]) for a, b in cuts], dtype=np.uint64)
-        counts += _bit_counts(hashes, bits)
-    return np.packbits(2 * counts > total).tobytes(), True
+        yield np.array([hash64(joined[a:b]) for a, b in cuts], dtype=np.uint64), len(starts)
 
 
 def _bit_counts(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -146,7 +216,7 @@ def _mix(h: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sampled_keys(first: DataFrame, width: int, tables: int) -> DataFrame:
+def _sampled_keys(prints: DataFrame, width: int, tables: int) -> DataFrame:
     schema = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("item", pa.int64()), ("payload", pa.binary())])
     rng = np.random.default_rng(SEED)
     chosen = np.concatenate([rng.permutation(WIDE_BITS) for _ in range(-(-width * tables // WIDE_BITS))])
@@ -162,8 +232,8 @@ def _sampled_keys(first: DataFrame, width: int, tables: int) -> DataFrame:
             for tab in range(tables):
                 key = flags[:, chosen[tab]].astype(np.int64) @ weights
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, tab, np.int32)), pa.array(key), batch.column(1), batch.column(0)],
+                    [pa.array(np.full(batch.num_rows, tab, np.int32)), pa.array(key), batch.column(1), batch.column(2)],
                     schema=schema,
                 )
 
-    return first.select("print", "item").mapInArrow(run, "tab int, key long, item long, payload binary")
+    return prints.select("print", "item", "payload").mapInArrow(run, "tab int, key long, item long, payload binary")

@@ -24,16 +24,20 @@ from linkloom.llm.common import stored
 NODE_KEYS = 60_000
 #: keys a task walks at once, node pairs it holds at once, pairs of keys below which it compares them directly
 WALK_KEYS, FRONTIER, DIRECT = 100_000, 150_000, 48
+#: bytes of keys and payloads a task walks at once, and pairs whose ragged payloads it compares at once
+WALK_BYTES, COSTLY = 64 << 20, 2_000
 STEP = 6
 
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def trie_links(keys: DataFrame, width: int, budget: int, accept: Accept | None = None) -> DataFrame:
+def trie_links(keys: DataFrame, width: int, budget: int, accept: Accept | None = None,
+               ragged: bool = False) -> DataFrame:
     """Links (u, v) that connect all items whose keys differ in at most `budget` of `width` bits.
 
     keys: tab int, key long (the low `width` bits count), item long, payload binary or null. Only keys of one `tab`
-    meet. `accept` gets the payloads of pairs as two arrays of bytes and says which pairs count.
+    meet. `accept` gets the payloads of pairs as two arrays of bytes, of byte strings if they are `ragged`, and says which
+    pairs count.
     """
     total = keys.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
     depth = min(width, max(0, (4 * int(total) // NODE_KEYS).bit_length()))
@@ -48,7 +52,7 @@ def trie_links(keys: DataFrame, width: int, budget: int, accept: Accept | None =
             pairs = todo.groupBy("tab", "a", "b").agg(F.count("*").alias("n"))
             large = pairs.where(F.col("n") > 2 * NODE_KEYS).select("tab", "a", "b")
             light = todo.join(large, ["tab", "a", "b"], "left_anti")
-        links = _walk(light, width, depth, budget, accept)
+        links = _walk(light, width, depth, budget, accept, ragged)
         found = links if found is None else found.unionByName(links)
         if not heavy:
             return found
@@ -88,12 +92,12 @@ def _below(width: int, depth: int, more: int, budget: int) -> list[Column]:
     return [F.inline(F.transform(masks, lambda m: _sides(own, partner.bitwiseXOR(m))))]
 
 
-def _walk(todo: DataFrame, width: int, depth: int, budget: int, accept: Accept | None) -> DataFrame:
+def _walk(todo: DataFrame, width: int, depth: int, budget: int, accept: Accept | None, ragged: bool = False) -> DataFrame:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_nodes(rows):
-            u, v = walk(table, width, depth, budget, accept)
+            u, v = walk(table, width, depth, budget, accept, ragged)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
@@ -104,18 +108,19 @@ def _walk(todo: DataFrame, width: int, depth: int, budget: int, accept: Accept |
 def _whole_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches joined and cut where a pair of nodes ends."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = weight = 0
     for batch in rows:
         held.append(batch)
         size += batch.num_rows
-        if size < WALK_KEYS:
+        weight += batch.nbytes
+        if size < WALK_KEYS and weight < WALK_BYTES:
             continue
         table = pa.Table.from_batches(held)
         groups = _group_starts(table)
         if groups[-1]:
             yield table.slice(0, groups[-1])
             table = table.slice(groups[-1])
-        held, size = table.combine_chunks().to_batches(), table.num_rows
+        held, size, weight = table.combine_chunks().to_batches(), table.num_rows, table.nbytes
     if size:
         yield pa.Table.from_batches(held)
 
@@ -129,7 +134,9 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def walk(table: pa.Table, width: int, depth: int, budget: int, accept: Accept | None) -> tuple[np.ndarray, np.ndarray]:
+def walk(
+    table: pa.Table, width: int, depth: int, budget: int, accept: Accept | None, ragged: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (items) of all node pairs in the table."""
     starts = _group_starts(table)
     side = table.column("side").to_numpy()
@@ -141,9 +148,11 @@ def walk(table: pa.Table, width: int, depth: int, budget: int, accept: Accept |
     keys, item = keys[order], table.column("item").to_numpy()[order]
     payload = None
     if accept is not None:
-        raw = table.column("payload").combine_chunks()
-        flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        payload = flat.reshape(len(keys), -1)[order]
+        raw = table.column("payload").to_pylist()
+        if ragged:
+            payload = np.array([*raw, None], dtype=object)[:-1][order]
+        else:
+            payload = np.frombuffer(b"".join(raw), np.uint8).reshape(len(keys), -1)[order]
     ends = np.append(starts[1:], len(keys))
     middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
     a, b = table.column("a").to_numpy()[starts], table.column("b").to_numpy()[starts]
@@ -154,11 +163,14 @@ def walk(table: pa.Table, width: int, depth: int, budget: int, accept: Accept |
     for i, j in _meet(first, keys, width, depth):
         near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
         i, j = i[near], j[near]
-        i, j = _open(label, i, j)
-        if accept is not None and len(i):
-            good = accept(payload[i], payload[j])
-            i, j = i[good], j[good]
-        _unite(label, i, j)
+        # dear comparisons come in small parts, so that most pairs of a family are connected before their turn
+        part = COSTLY if ragged else max(1, len(i))
+        for at in range(0, len(i), part):
+            x, y = _open(label, i[at : at + part], j[at : at + part])
+            if accept is not None and len(x):
+                good = accept(payload[x], payload[y])
+                x, y = x[good], y[good]
+            _unite(label, x, y)
     linked = np.flatnonzero(label != np.arange(len(label)))
     return item[linked], item[label[linked]]
 

@@ -126,3 +126,26 @@ def test_near_copies_leave_one_of_each_group(spark, odd, empty):
     assert left.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted("0 1 2 3 4 4 None 8".split())
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_near_copies_are_those_of_exact_similarity(spark, docs):
+    """Pairs on both sides of 0.8, in sets of equal and unequal size and with a line that is often repeated."""
+    def changed(words, n):
+        return [f"v{rng.randrange(10**6)}" if i in set(range(3, 3 + 9 * n, 9)) else w for i, w in enumerate(words)]
+
+    texts = [r["text"] for r in docs.collect()]
+    for n in range(1, 9):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(230)]
+        texts += [" ".join(words), " ".join(changed(words, n)), " ".join(words[: 230 - 9 * n])]
+    line = " ".join(f"l{rng.randrange(10**6)}" for _ in range(9))
+    texts += [" ".join([*(f"o{rng.randrange(10**6)}" for _ in range(60)), *([line] * 40)]) for _ in range(4)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    kept = {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()}
+    assert kept == {i for i in range(len(texts)) if label[i] == i}
