@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import (
+    alignment,
     exact,
+    licenses,
     mixing,
     packing,
+    periodic,
     quality,
     secrets,
     sentences,
@@ -78,11 +81,53 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.repeated_spans(_table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(_table(spark, folder, "documents")))
+    top = periodic.longest_power(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, folder, "documents"))
+    at = F.transform("places", lambda p: p["at"].cast("long"))
+    base = licenses.base_labels(F.col("places"))
+    every = F.array_sort(F.array_union(base, F.transform("met", lambda m: m["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        licenses.score(F.col("places"), F.col("met")).alias("score"),
+    )
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.alignments(_table(spark, folder, "documents"))
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
+    return alignment.scored(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
     own = (op1_best_fit_packing, op2_url_rules, op3_simhash, op4_quality_rules, op5_exact_dedup, op6_token_output,
-           op7_mixing, op8_secrets, op9_toxicity, op10_repeated_spans)
+           op7_mixing, op8_secrets, op9_toxicity, op10_repeated_spans, op11_periodic_runs, op12_licenses,
+           op13_alignment)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -137,10 +182,53 @@ FROM texts LEFT JOIN found USING (id)
 """
 
 
+def _licenses_sql() -> str:
+    def phrase(p: licenses.Phrase) -> str:
+        stands = " AND ".join(f"words[i + {k}] = '{word}'" for k, word in enumerate(p.words, 1))
+        return f"list_transform(list_filter(range(len(words)), lambda i: {stands}), lambda i: {{'place': i, 'label': '{p.label}'}})"
+
+    half = licenses.BLOCK // 2
+    asked = ", ".join(
+        f"({number}, '{t.label}', {t.asks(licenses.THRESHOLD)}, {len(t.words)}, '{word}')"
+        for number, t in enumerate(licenses.TEMPLATES) for word in t.words
+    )
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+bases AS (
+  SELECT id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+  FROM (SELECT id, unnest({" || ".join(map(phrase, licenses.BASE))}, recursive := true) FROM texts) GROUP BY id
+),
+placed AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM texts),
+blocks AS (
+  SELECT id, word, i // {half} AS block FROM placed
+  UNION ALL SELECT id, word, i // {half} - 1 FROM placed WHERE i >= {half}
+),
+asked(template, label, asks, size, word) AS (VALUES {asked}),
+shared AS (
+  SELECT id, block, template, any_value(label) AS label, any_value(asks) AS asks, any_value(size) AS size,
+    count(DISTINCT word) AS overlap
+  FROM blocks JOIN asked USING (word) GROUP BY ALL
+),
+met AS (
+  SELECT id, list(DISTINCT label) AS labels, max(overlap / size) AS score FROM shared WHERE overlap >= asks GROUP BY id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(bases.n, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(bases.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(bases.labels, []) || coalesce(met.labels, []))), ',') AS labels,
+  CASE WHEN bases.n > 0 THEN 1.0 ELSE coalesce(met.score, 0.0) END::DOUBLE AS score
+FROM texts LEFT JOIN bases USING (id) LEFT JOIN met USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op5_exact_dedup": _EXACT_SQL, "op8_secrets": _secrets_sql()}
+    out = {"op5_exact_dedup": _EXACT_SQL, "op8_secrets": _secrets_sql(), "op12_licenses": _licenses_sql()}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
