@@ -1,11 +1,10 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from core_helpers import INSTANCE
 from linkloom.graph import SCHEMAS, Graph
 from linkloom.session import configure
 
-INSTANCE = "https://lg.example/"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,10 +21,6 @@ def spark():
     session.stop()
 
 
-def rows(df, *cols):
-    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
-
-
 @pytest.fixture(scope="session")
 def small(spark):
     """Three pages on two sites; a tag, plain links, a citation and a ring."""

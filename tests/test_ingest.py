@@ -8,7 +8,7 @@ from linkloom.operators.store import GraphStore
 from linkloom.sources.html import harvest_html
 from linkloom.streaming.ingest import ingest_stream
 
-from conftest import INSTANCE, rows
+from core_helpers import INSTANCE, rows
 
 SCHEMA = (
     "id string, type string, title string, description string, image string, postDate string, "

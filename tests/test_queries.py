@@ -5,7 +5,7 @@ from linkloom.client import LinkGraph
 from linkloom.operators import listings, page_objects, rings, terms, trust
 from linkloom.operators.page_objects import assemble
 
-from conftest import rows
+from core_helpers import rows
 
 
 @pytest.fixture(scope="module")
