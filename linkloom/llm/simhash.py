@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import doc_texts, stored
 from linkloom.llm.components import components
-from linkloom.llm.trie import trie_links
+from linkloom.llm.trie import connect_groups, trie_links, whole_groups
 
 SEED = 42
 #: for groups by similarity: bits of a fingerprint, and the share of pairs at the similarity itself that meet
 WIDE_BITS, REACH = 512, 0.999
 #: deviations beyond the expected differing bits at which a pair still is a candidate
 MARGIN = 4
+#: bytes of a fingerprint that go with a key, and keys under one pair of trie nodes when no more than these go along
+PART_BYTES, PART_KEYS = 32, 800_000
+#: a family of candidates of so many sets and bytes at most is compared in one task
+FAMILY_ITEMS, FAMILY_BYTES = 2_000, 64 << 20
 #: random bits that a key of the similarity join has beyond the logarithm of the number of fingerprints
 KEY_BITS_LEAST, KEY_BUDGET = 16, 1
 _BLOCK = 1 << 15
@@ -49,40 +53,73 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFr
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near copy; others stay alone in theirs.
+    """doc_id, text_key, component_id, kept of each row with words.
 
-    Two documents link when the Jaccard similarity of their sets of shingles reaches `similarity`. Keys of a few sampled
-    bits of wide SimHash fingerprints of the sets bring candidates together: `KEY_BUDGET` of them may differ, and there
-    are as many keys as bring pairs at the similarity itself together with probability REACH. A first walk finds the
-    documents that have a candidate, by fingerprints alone; a second one over just those compares the sets. Rows without
-    an id or without words are left out.
+    Two texts link when the Jaccard similarity of their sets of shingles reaches `similarity`; texts without a near copy
+    are alone in their component. text_key is the text's hash: it tells texts apart that share a doc_id or have none.
+    component_id is the smallest doc_id of a component, null where all are null. The row with the smallest doc_id, nulls
+    last, then text_key, is kept; rows alike in both are kept or not together. Rows without words are left out.
+
+    Keys of a few sampled bits of wide SimHash fingerprints of the sets bring candidates together: `KEY_BUDGET` of the bits
+    may differ, and there are as many keys as bring pairs at the similarity itself together with probability REACH. The
+    walk over the keys carries part of the fingerprints alone and finds families of candidates. Then each family's sets
+    are sent once to one task, which compares them. Families too large for a task go through the keys with their sets.
     """
     wide = stored(_wide_prints(docs, shingle), "wide")
     first = stored(wide.groupBy("item").agg(F.min("print").alias("print")), "wide-classes")
     width, tables = key_plan(first.count(), similarity)
     p = differing_share(similarity)
-    most = int(WIDE_BITS * p + MARGIN * math.sqrt(WIDE_BITS * p * (1 - p)))
+
+    def most(bits: int) -> int:
+        return int(bits * p + MARGIN * math.sqrt(bits * p * (1 - p)))
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= most
+        return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= most(8 * PART_BYTES)
 
     def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.fromiter((_alike(a, b, most, similarity) for a, b in zip(x, y)), bool, len(x))
-
-    found = trie_links(_sampled_keys(first.select("print", "item", F.col("print").alias("payload")), width, tables),
-                       width, KEY_BUDGET, near)
-    some = stored(found.select(F.explode(F.array("u", "v")).alias("item")).distinct(), "candidates")
-    ids = wide.join(some, "item").groupBy("item").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = doc_texts(docs)
-    texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
-    sets = _sets(texts, shingle).dropDuplicates(["item"]).join(some, "item", "left_semi")
-    sets = stored(sets.select("print", "item", F.concat("print", "hashes").alias("payload")), "sets")
-    roots = components(trie_links(_sampled_keys(sets, width, tables), width, KEY_BUDGET, alike, ragged=True))
+        return np.fromiter((_alike(a, b, most(WIDE_BITS), similarity) for a, b in zip(x, y)), bool, len(x))
+
+    part = F.substring("print", 1, PART_BYTES)
+    found = trie_links(_sampled_keys(first.select("print", "item", part.alias("payload")), width, tables),
+                       width, KEY_BUDGET, near, node_keys=PART_KEYS)
+    family = stored(components(found), "families").withColumnsRenamed({"node": "item", "root": "family"})
+    # one row of each set in a family gives its shingles
+    one = wide.join(family, "item").groupBy("item", "family").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    one = one.select("item", "family", "one.*").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    texts = _keyed(docs)
+    texts = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    sets = _sets(texts, shingle).dropDuplicates(["item"]).join(family, "item")
+    sets = stored(sets.select("family", "print", "item", F.concat("print", "hashes").alias("payload")), "sets")
+    sizes = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+    small = (F.col("n") <= FAMILY_ITEMS) & (F.col("bytes") <= FAMILY_BYTES)
+    sized = sets.join(sizes.select("family", small.alias("small")), "family")
+    links = _family_links(sized.where("small"), alike)
+    large = stored(sized.where("not small").drop("small"), "large-families")
+    if not large.isEmpty():
+        links = links.unionByName(trie_links(_sampled_keys(large, width, tables), width, KEY_BUDGET, alike, ragged=True))
+    roots = components(links)
     member = wide.join(roots, wide["item"] == roots["node"], "left").select(
-        "doc_id", F.coalesce("root", "item").alias("root")
+        "doc_id", "text_key", F.coalesce("root", "item").alias("root")
     )
-    lowest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(lowest, "root").select("doc_id", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    lowest = member.groupBy("root").agg(F.min(rank).alias("first"))
+    return member.join(lowest, "root").select(
+        "doc_id", "text_key", F.col("first.id").alias("component_id"), (rank == F.col("first")).alias("kept")
+    )
+
+
+def _family_links(sets: DataFrame, alike) -> DataFrame:
+    """Links (u, v) that connect the similar items of each family; a family is small enough for a task."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(rows, ("family",)):
+            u, v = connect_groups(table, "family", alike)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+
+    rows = sets.select("family", "item", "payload").repartition("family").sortWithinPartitions("family", "item")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _alike(a: bytes, b: bytes, most: int, similarity: float) -> bool:
@@ -114,27 +151,31 @@ def _set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(hashes.astype("<u8").tobytes(), seed=SEED), "big", signed=True)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return doc_texts(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
 def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, item (equal for equal sets), print of the rows with an id and with words."""
-    return _sets(doc_texts(docs).where("doc_id is not null"), shingle, with_hashes=False)
+    """doc_id, text_key, item (equal for equal sets), print of the rows with words."""
+    return _sets(_keyed(docs), shingle, with_hashes=False)
 
 
 def _sets(texts: DataFrame, shingle: int, with_hashes: bool = True) -> DataFrame:
-    fields = [("doc_id", pa.int64()), ("item", pa.int64()), ("print", pa.binary())] + [("hashes", pa.binary())] * with_hashes
-    schema = pa.schema(fields)
+    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("item", pa.int64()), ("print", pa.binary())]
+    schema = pa.schema(fields + [("hashes", pa.binary())] * with_hashes)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out: list[list] = [[] for _ in schema]
+            for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 hashes = shingle_set(text.as_py(), shingle)
                 if len(hashes):
-                    values = (doc, _set_id(hashes), set_print(hashes), hashes.astype("<u8").tobytes() if with_hashes else b"")
+                    values = (doc, key, _set_id(hashes), set_print(hashes), hashes.astype("<u8").tobytes() if with_hashes else b"")
                     for column, value in zip(out, values):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, item long, print binary" + ", hashes binary" * with_hashes)
+    return texts.mapInArrow(run, "doc_id long, text_key long, item long, print binary" + ", hashes binary" * with_hashes)
 
 
 def differing_share(similarity: float) -> float:
@@ -151,9 +192,16 @@ def key_plan(n: int, similarity: float) -> tuple[int, int]:
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The input's rows and columns without the near copies; of each group the smallest doc_id stays."""
-    gone = similar_groups(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """The input's rows and columns without the near copies; of each group the row with the smallest doc_id stays.
+
+    Rows go by id and text together: a text that shares its id with a near copy, or has none, stays unless it is one
+    itself. Of near copies without any id one text stays. Rows alike in id and text stay or go together.
+    """
+    gone = similar_groups(docs, similarity, shingle).where("not kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"))
+    return docs.join(gone.distinct(), same, "left_anti")
 
 
 def _as_long(name: str):

@@ -27,30 +27,33 @@ WALK_KEYS, FRONTIER, DIRECT = 100_000, 150_000, 48
 #: bytes of keys and payloads a task walks at once, and pairs whose ragged payloads it compares at once
 WALK_BYTES, COSTLY = 64 << 20, 2_000
 STEP = 6
+#: rows that a row of a group is compared with before it is looked up which are still unconnected
+COMPARED = 16
 
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def trie_links(keys: DataFrame, width: int, budget: int, accept: Accept | None = None,
-               ragged: bool = False) -> DataFrame:
+               ragged: bool = False, node_keys: int | None = None) -> DataFrame:
     """Links (u, v) that connect all items whose keys differ in at most `budget` of `width` bits.
 
     keys: tab int, key long (the low `width` bits count), item long, payload binary or null. Only keys of one `tab`
     meet. `accept` gets the payloads of pairs as two arrays of bytes, of byte strings if they are `ragged`, and says which
-    pairs count.
+    pairs count. `node_keys`: keys under one pair of nodes that a task may hold.
     """
+    node_keys = node_keys or NODE_KEYS
     total = keys.groupBy("tab").count().agg(F.max("count")).first()[0] or 0
-    depth = min(width, max(0, (4 * int(total) // NODE_KEYS).bit_length()))
+    depth = min(width, max(0, (4 * int(total) // node_keys).bit_length()))
     todo = keys.select("tab", "key", "item", "payload", *_pairs(F.col("key"), width, depth, budget))
     found = None
     while True:
         sizes = keys.select("tab", _prefix(F.col("key"), width, depth).alias("p")).groupBy("tab", "p").count()
-        heavy = (sizes.agg(F.max("count")).first()[0] or 0) > NODE_KEYS and depth < width
+        heavy = (sizes.agg(F.max("count")).first()[0] or 0) > node_keys and depth < width
         light = todo
         if heavy:
             todo = stored(todo, "nodes")
             pairs = todo.groupBy("tab", "a", "b").agg(F.count("*").alias("n"))
-            large = pairs.where(F.col("n") > 2 * NODE_KEYS).select("tab", "a", "b")
+            large = pairs.where(F.col("n") > 2 * node_keys).select("tab", "a", "b")
             light = todo.join(large, ["tab", "a", "b"], "left_anti")
         links = _walk(light, width, depth, budget, accept, ragged)
         found = links if found is None else found.unionByName(links)
@@ -96,7 +99,7 @@ def _walk(todo: DataFrame, width: int, depth: int, budget: int, accept: Accept |
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_nodes(rows):
+        for table in whole_groups(rows, ("tab", "a", "b")):
             u, v = walk(table, width, depth, budget, accept, ragged)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
@@ -105,8 +108,8 @@ def _walk(todo: DataFrame, width: int, depth: int, budget: int, accept: Accept |
     return nodes.mapInArrow(run, "u long, v long")
 
 
-def _whole_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined and cut where a pair of nodes ends."""
+def whole_groups(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Batches, sorted by the named columns, joined and cut where a group ends."""
     held: list[pa.RecordBatch] = []
     size = weight = 0
     for batch in rows:
@@ -116,7 +119,7 @@ def _whole_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if size < WALK_KEYS and weight < WALK_BYTES:
             continue
         table = pa.Table.from_batches(held)
-        groups = _group_starts(table)
+        groups = _group_starts(table, names)
         if groups[-1]:
             yield table.slice(0, groups[-1])
             table = table.slice(groups[-1])
@@ -125,15 +128,35 @@ def _whole_nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _group_starts(table: pa.Table) -> np.ndarray:
+def _group_starts(table: pa.Table, names: tuple[str, ...] = ("tab", "a", "b")) -> np.ndarray:
     new = np.zeros(table.num_rows, dtype=bool)
     new[0] = True
-    for name in ("tab", "a", "b"):
+    for name in names:
         values = table.column(name).to_numpy()
         new[1:] |= values[1:] != values[:-1]
     return np.flatnonzero(new)
 
 
+def connect_groups(table: pa.Table, name: str, accept: Accept) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (items) of the pairs that `accept` takes in each group of a table sorted by that column.
+
+    Each row is compared with all before it in its group that are not connected to it yet.
+    """
+    starts = _group_starts(table, (name,))
+    item, payload = table.column("item").to_numpy(), np.array([*table.column("payload").to_pylist(), None], dtype=object)[:-1]
+    label = np.arange(len(item))
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(item)]):
+        for k in range(low + 1, high):
+            others = np.arange(low, k)
+            while len(others):
+                others = others[label[others] != label[k]]
+                part, others = others[:COMPARED], others[COMPARED:]
+                good = part[accept(payload[np.full(len(part), k)], payload[part])] if len(part) else part
+                _unite(label, np.full(len(good), k), good)
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return item[linked], item[label[linked]]
+
+
 def walk(
     table: pa.Table, width: int, depth: int, budget: int, accept: Accept | None, ragged: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:

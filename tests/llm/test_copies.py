@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_llm import table
 
@@ -128,11 +129,22 @@ def test_near_copies_leave_one_of_each_group(spark, odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
-def test_near_copies_are_those_of_exact_similarity(spark, docs):
+def test_near_copies_go_by_id_and_text(spark):
+    (a, b), (c, d) = list(near_words(300, 2)), list(near_words(300, 2))
+    other = " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))
+    kept = simhash.keep_one(table(spark, [a, b, other, c, d, c], [1, 7, 7, None, None, None]))
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert left[:2] == [(1, a), (7, other)]
+    assert len(left) in (3, 4) and {t for _, t in left[2:]} in ({c}, {d})
+
+
+@pytest.mark.parametrize("items", [simhash.FAMILY_ITEMS, 2])
+def test_near_copies_are_those_of_exact_similarity(spark, docs, monkeypatch, items):
     """Pairs on both sides of 0.8, in sets of equal and unequal size and with a line that is often repeated."""
     def changed(words, n):
         return [f"v{rng.randrange(10**6)}" if i in set(range(3, 3 + 9 * n, 9)) else w for i, w in enumerate(words)]
 
+    monkeypatch.setattr(simhash, "FAMILY_ITEMS", items)  # larger families go through the keys
     texts = [r["text"] for r in docs.collect()]
     for n in range(1, 9):
         words = [f"w{rng.randrange(10**6)}" for _ in range(230)]
