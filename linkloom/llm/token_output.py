@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import stored
-from linkloom.llm.tokens import token_pieces
+from linkloom.llm.tokens import binary_column, token_pieces
 
 CAPACITY = 4096
 #: pieces of a block on average, however they are spread over rows; at most 16 KB of ids each
@@ -81,12 +81,11 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 def packed_ids(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """One row per sequence: its padded ids and where its segments begin.
 
-    ids: `capacity` little-endian unsigned 16-bit ids (32-bit for larger vocabularies never occur with the default),
-    padded by PAD. cu_seqlens: 0, the end of each segment, so a segment's ids are between neighbours. position_resets:
+    ids: `capacity` little-endian unsigned 16-bit ids, padded by PAD; larger vocabularies are refused. cu_seqlens: 0, the end of each segment, so a segment's ids are between neighbours. position_resets:
     where positions start again at 0. doc_ids, pieces and starts tell which ids of which document a segment holds; cut
     documents come back whole by joining their pieces. Null and empty texts are one end id. No rows give none.
     """
-    pieces = token_pieces(docs, capacity, tokenizer_path, with_ids=True).drop("ids_crc32")
+    pieces = token_pieces(docs, capacity, tokenizer_path, with_ids=True)
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n_blocks = max(1, -(-pieces.count() // BLOCK))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks))).drop("row")
@@ -97,19 +96,26 @@ def _fill(table: pa.Table, capacity: int) -> pa.Table:
     table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
     block = table.column("block")[0].as_py() if table.num_rows else 0
     lengths, docs = table.column("length").to_pylist(), table.column("doc_id").to_pylist()
-    pieces, starts, ids = table.column("piece").to_pylist(), table.column("start").to_pylist(), table.column("ids")
-    out: list[list] = [[] for _ in _ROWS]
-    for number, row in enumerate(best_fit_decreasing(lengths, capacity)):
-        filled = np.full(capacity, PAD, "<u2")
-        cuts = [0]
+    pieces, starts = table.column("piece").to_pylist(), table.column("start").to_pylist()
+    rows = best_fit_decreasing(lengths, capacity)
+    ids = table.column("ids").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    flat = np.frombuffer(ids.buffers()[2] or b"", "<u2")
+    at = (np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(lengths) + 1] // 2).tolist()
+    filled = np.full((len(rows), capacity), PAD, "<u2")
+    all_cuts = []
+    for number, row in enumerate(rows):
+        cuts, line = [0], filled[number]
         for i in row:
-            filled[cuts[-1] : cuts[-1] + lengths[i]] = np.frombuffer(ids[i].as_py(), "<u4")
             cuts.append(cuts[-1] + lengths[i])
-        values = ((block << 20) + number, cuts[-1], filled.tobytes(), cuts, cuts[:-1],
-                  [docs[i] for i in row], [pieces[i] for i in row], [starts[i] for i in row])
-        for column, value in zip(out, values):
-            column.append(value)
-    return pa.table([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
+            line[cuts[-2] : cuts[-1]] = flat[at[i] : at[i + 1]]
+        all_cuts.append(cuts)
+    ends = capacity * np.arange(1, len(rows) + 1)
+    columns = [
+        (block << 20) + np.arange(len(rows)), [c[-1] for c in all_cuts], binary_column(filled.reshape(-1), ends), all_cuts,
+        [c[:-1] for c in all_cuts], *([[held[i] for i in row] for row in rows] for held in (docs, pieces, starts)),
+    ]
+    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS)
 
 
 def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> None:

@@ -40,6 +40,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
+        if self.model.normalizer is None or self.model.normalizer.normalize_str("A\u0301\tB  C") != "\u00e1 b c":
+            raise ValueError(f"{path} must compose and lower-case its texts and part words at white space")
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -54,7 +56,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # such a token ends words early and has an id of its own
             return self.plain(text)
-        normal = text if text.isascii() else unicodedata.normalize("NFC", text)
+        normal = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         if not (normal.isascii() or self._all_plain(normal)):
             return self.plain(text)
         chunks = normal.lower().encode().split()
@@ -107,29 +109,51 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def check_vocabulary(path: str, most: int) -> None:
+    """Refuse a tokenizer with ids of `most` or more."""
+    held = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    if held >= most:
+        raise ValueError(f"{path} has ids up to {held}; they must stay below {most}")
+
+
 def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 and, if asked, the ids.
+    """One row per piece of at most `capacity` ids: doc_id, piece, start, length, and ids_crc32 or the ids.
 
-    A text's ids end with END_ID, so an empty or null text has one piece of length 1. Only longer ones are cut.
+    A text's ids end with END_ID, so an empty or null text has one piece of length 1. Only longer ones are cut. The ids
+    are little-endian and of 16 bits, so they are given for vocabularies of up to 65,536 only; their crc32 is of 32-bit ids.
     """
     path = path or default_tokenizer()
+    if with_ids:
+        check_vocabulary(path, 1 << 16)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-              ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
+              ("ids", pa.binary()) if with_ids else ("ids_crc32", pa.int64())]
     schema = pa.schema(fields)
-    end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
+    end = np.array([END_ID], "<u4").tobytes()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
         for batch in rows:
-            out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(raw), width)):
-                    part = raw[at : at + width]
-                    values = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)
-                    for column, value in zip(out, values):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return doc_texts(docs).mapInArrow(cut, ddl)
+            raws = [encode(text.as_py()) + end for text in batch.column(1)]
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            n_pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(raws)), n_pieces)
+            piece = np.arange(len(row)) - (np.cumsum(n_pieces) - n_pieces)[row]
+            length = np.minimum(capacity, sizes[row] - piece * capacity)
+            ends, data = np.cumsum(length), b"".join(raws)
+            if with_ids:
+                last = binary_column(np.frombuffer(data, "<u4").astype("<u2"), ends)
+            else:
+                view = memoryview(data)
+                last = pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist())], pa.int64())
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity),
+                       pa.array(length), last]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return doc_texts(docs).mapInArrow(
+        cut, "doc_id long, piece int, start long, length long, " + ("ids binary" if with_ids else "ids_crc32 long"))
+
+
+def binary_column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Neighbouring stretches of one array, by their ends, as a column of bytes."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
