@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -96,53 +97,79 @@ def runs(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
         yield first, last, found[first][0], found[last][1], xxhash.xxh3_128_digest(joined)
 
 
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The texts, and the columns that name a row: doc_id, with a number of its own where rows share an id or have none."""
+    rows = doc_texts(docs)
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows, ["doc_id"]
+    return stored(rows.withColumn("copy", F.monotonically_increasing_id()), "numbered"), ["doc_id", "copy"]
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per removed span: doc_id, first_sentence, last_sentence, start, end, first_doc_id.
 
-    first_sentence and last_sentence count clauses. start and end are code points of the whole text; overlapping and touching spans of a document are one. first_doc_id
-    is the smallest doc_id that keeps a passage of the span. Texts that are null, empty or too short have no runs.
-    Rows that share a doc_id and a place count as the same occurrence; rows without an id come first.
+    first_sentence and last_sentence count clauses. start and end are code points of the whole text; overlapping and
+    touching spans of a row are one. first_doc_id is the smallest doc_id that keeps a passage of the span, null when only
+    rows without an id do. Texts that are null, empty or too short have no runs. Rows that share a doc_id or have none are
+    told apart by a number, each with spans of its own; rows without an id come first.
     """
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()),
-                        ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    rows, who = _told_apart(docs)
+    return _spans(rows, who).select("doc_id", "first_sentence", "last_sentence", "start", "end", "first_doc_id")
+
+
+def _spans(rows: DataFrame, who: list[str]) -> DataFrame:
+    own = [(name, pa.int64()) for name in who]
+    # a run's first and last clause in one number, and its first and last character
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *own, ("clauses", pa.int64()), ("chars", pa.int64())])
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts, keys, clauses, chars = [], [], [], []
+            for text in batch.column(0):
+                n = len(clauses)
                 for first, last, start, end, key in runs(text.as_py()):
-                    h1 = int.from_bytes(key[:8], "big", signed=True)
-                    h2 = int.from_bytes(key[8:], "big", signed=True)
-                    for column, value in zip(out, (h1, h2, doc, first, last, start, end)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-    spans = doc_texts(docs).mapInArrow(cut, "h1 long, h2 long, doc_id long, first int, last int, start int, end int")
+                    keys.append(key)
+                    clauses.append(first << 32 | last)
+                    chars.append(start << 32 | end)
+                counts.append(len(clauses) - n)
+            halves = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            names = [batch.column(1 + k).take(row) for k in range(len(who))]
+            columns = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *names]
+            columns += [pa.array(clauses, pa.int64()), pa.array(chars, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    spans = rows.select("text", *who).mapInArrow(cut, ", ".join(f"{f.name} long" for f in schema))
     spans = stored(spans, "runs")
-    place = F.struct("doc_id", "first")
+    place = F.struct(*who, "clauses")
     keepers = spans.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     keepers = stored(keepers, "keepers")  # both sides then come by an exchange, so a hot passage's side can be split
     again = spans.join(keepers.drop("n"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper")))
-    return merged(again.select("doc_id", "first", "last", "start", "end", F.col("keeper.doc_id").alias("by")))
+    return merged(again.select(
+        *who,
+        F.shiftright("clauses", 32).cast("int").alias("first"), F.col("clauses").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"),
+        F.shiftright("chars", 32).cast("int").alias("start"), F.col("chars").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"),
+        F.col("keeper.doc_id").alias("by"),
+    ), who)
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """Spans of a document that overlap or touch, as one."""
-    order = Window.partitionBy("doc_id").orderBy("first", "last")
+def merged(spans: DataFrame, who: list[str]) -> DataFrame:
+    """Spans of a row that overlap or touch, as one."""
+    order = Window.partitionBy(*who).orderBy("first", "last")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")
     numbered = spans.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "island").agg(
+    return numbered.groupBy(*who, "island").agg(
         F.min("first").alias("first_sentence"), F.max("last").alias("last_sentence"),
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("by").alias("first_doc_id"),
     ).drop("island")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and the text without its repeated spans, for every row."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    texts = doc_texts(docs)
-    rows = texts.join(spans, same_key(texts, spans, "doc_id"), "left").select(texts["doc_id"], "text", "spans")
+    """doc_id and the text without its own repeated spans, for every row; rows that share an id are cut each by its own."""
+    texts, who = _told_apart(docs)
+    spans = _spans(texts, who).groupBy(*who).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = texts.join(spans, same_key(texts, spans, *who), "left").select(texts["doc_id"], "text", "spans")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc, span):

@@ -1,16 +1,18 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-Both dictionaries start with the same content, trained on windows of ordinary text; the toxic one goes on with content
-trained on toxic text, namely on what stands out in it. Each window of a text is compressed with both. How many bytes
-the toxic one saves, over the whole text, goes through thresholds calibrated on labelled rows to a score.
+Both dictionaries start with the same content, trained on windows of ordinary text. The toxic one goes on with content
+trained on toxic text; what ordinary texts hold about as often is left out of its samples, as it would fill a dictionary
+with what compresses both classes alike. Each window of a text is compressed with both. How many bytes the toxic one
+saves, over the whole text, goes through thresholds calibrated on labelled rows, by halves, to a score.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,18 @@ from linkloom.llm.common import doc_texts, stored
 #: the classifier is fitted on at most this many labelled rows of each class, and on texts up to so many bytes
 #: (longer ones are not used for fitting), the rows with the smallest hash of their id
 PER_CLASS, FIT_BYTES = 4_000, 20_000
+N_SAVINGS = 5
 WINDOW, STEP = 64, 48
-ORDINARY_BYTES, TOXIC_BYTES, SALIENT = 12_288, 2_048, 200
+#: sizes of both dictionaries' contents, and the sizes of segments and of what they share that the trainer goes by
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 1_024
+ORDINARY_SEGMENT, TOXIC_SEGMENT, SHARED = 32, 16, 6
+#: a word belongs to the toxic samples when at least this share of the toxic texts and OWN_TEXTS of them hold it, and a
+#: share OWN_RATIO times that of the ordinary ones
+OWN_SHARE, OWN_TEXTS, OWN_RATIO = 0.02, 3, 4
+#: the share of ordinary texts that may score 0.5 or more
+FALSE_ALARMS = 0.02
 _HEADER = 256  # entropy tables in front of a trained dictionary's content
-_STRIP = b".,;:!?\"'()[]{}|"
+_TEXT_WORD = re.compile(rb"[^\s.,;:!?|\"'()\[\]{}]+")
 
 
 @dataclass(frozen=True)
@@ -44,31 +54,27 @@ def held_out():
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    # matches of six bytes and more: shorter ones are chance
+    # matches of five bytes and more: shorter ones are chance
     settings = zstandard.ZstdCompressionParameters.from_level(
-        3, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, write_checksum=0
+        3, min_match=5, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, write_checksum=0
     )
     content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=content, compression_params=settings)
 
 
-def savings(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, ...]:
-    """What the toxic dictionary saves over the windows of a whole text: most, over three, by length, mean of the top."""
+def windows(text: str, step: int = STEP) -> list[bytes]:
+    """All of a text in pieces of WINDOW bytes that begin every `step` bytes."""
     raw = text.encode()
-    if not raw:
-        return (0.0, 0.0, 0.0, 0.0)
-    top, over, n, best = 0, 0, 0, [0, 0, 0]
-    for at in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP):
-        part = raw[at : at + WINDOW]
-        saved = len(ordinary.compress(part)) - len(toxic.compress(part))
-        n += 1
-        if saved > best[0]:
-            best[0] = saved
-            best.sort()
-        if saved > 3:
-            over += saved
-            top = max(top, saved)
-    return (float(top), math.log1p(over), over / math.sqrt(n), sum(best) / 3)
+    return [raw[at : at + WINDOW] for at in range(0, max(1, len(raw) - (WINDOW - step)), step)] if raw else []
+
+
+def savings(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, ...]:
+    """What the toxic dictionary saves over a text's windows: most, mean of the top three, mean, two sums of the large."""
+    saved = sorted((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)), reverse=True)
+    if not saved:
+        return (0.0,) * N_SAVINGS
+    n, large = len(saved), sum(v for v in saved if v > 3)
+    return float(saved[0]), sum(saved[:3]) / 3, sum(saved) / n, large / math.sqrt(n), math.log1p(large)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -78,47 +84,38 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     half = [(toxic[k::2], ordinary[k::2]) for k in range(2)]
     points, ys = [], []
     for k in range(2):
-        pair = _contents(*half[k])
-        machines = [_compressor(c) for c in pair]
+        machines = [_compressor(c) for c in _contents(*half[k])]
         for y, texts in ((1, half[1 - k][0]), (0, half[1 - k][1])):
             points += [savings(t, *machines) for t in texts]
             ys += [y] * len(texts)
-    weights, means, scales = _logistic(np.array(points, float).reshape(-1, 4), np.array(ys, float))
+    x, y = np.array(points, float).reshape(-1, N_SAVINGS), np.array(ys, float)
+    weights, means, scales = _logistic(x, y)
+    if toxic and ordinary:  # the score 0.5 stands where FALSE_ALARMS of the ordinary texts are above
+        z = ((x[y == 0] - means) / scales) @ np.array(weights[1:])
+        weights = (-float(np.quantile(z, 1 - FALSE_ALARMS)) - 1e-6, *weights[1:])
     return Model(*_contents(toxic, ordinary), weights, means, scales)
 
 
 def _contents(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    words = _salient(toxic, ordinary)
-    excerpts = []
-    for text in toxic:
-        kept = [w for w in text.encode().split() if w.lower().strip(_STRIP) in words]
-        if kept:
-            excerpts.append(b" " + b" ".join(kept) + b" ")
-    plain = [t.encode()[at : at + 128] for t in ordinary[:1500] for at in range(0, min(len(t), 16_384), 128)]
-    base = _trained(plain, ORDINARY_BYTES)
-    return base, base + _trained(excerpts, TOXIC_BYTES)
-
-
-def _salient(toxic: list[str], ordinary: list[str]) -> set[bytes]:
-    """Words in a far larger share of the toxic texts, the SALIENT most significant ones."""
-
-    def counted(texts: list[str]) -> Counter:
-        return Counter(w for t in texts for w in {x.strip(_STRIP) for x in t.encode().lower().split()})
-
-    seen, usual = counted(toxic), counted(ordinary)
-    a, b = max(1, len(toxic)), max(1, len(ordinary))
-    scored = []
-    for word, n in seen.items():
-        if len(word) > 2 and n >= 3:
-            p = (n + usual[word] + 1) / (a + b + 2)
-            scored.append(((n / a - usual[word] / b) / math.sqrt(p * (1 - p) * (1 / a + 1 / b)), word))
-    return {w for z, w in sorted(scored, reverse=True)[:SALIENT] if z > 4}
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
+    base = _trained([w for t in ordinary for w in windows(t, WINDOW)], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    return base, base + _trained(_own_text(toxic, ordinary), TOXIC_BYTES, TOXIC_SEGMENT)
+
+
+def _own_text(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The toxic texts without the words that they share with ordinary ones or with too few toxic ones."""
+    words = [_TEXT_WORD.findall(t.encode().lower()) for t in toxic]
+    seen = Counter(w for ws in words for w in set(ws))
+    usual = Counter(w for t in ordinary for w in set(_TEXT_WORD.findall(t.encode().lower())))
+    least = max(OWN_TEXTS, OWN_SHARE * len(toxic))
+    own = {w for w, n in seen.items() if n >= least and n * max(1, len(ordinary)) > OWN_RATIO * (usual[w] + 1) * len(toxic)}
+    kept = (b" ".join(w for w in ws if w in own) for ws in words)
+    return [b" " + k + b" " for k in kept if k]
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """Dictionary content of at most `size` bytes; samples too few to fill half of it are used as they are."""
     try:
-        content = zstandard.train_dictionary(size, samples).as_bytes()[_HEADER:]
+        content = zstandard.train_dictionary(size + _HEADER, samples, k=segment, d=SHARED).as_bytes()[_HEADER:]
     except zstandard.ZstdError:
         content = b""
     return content if len(content) >= size // 2 else b"".join(dict.fromkeys(samples))[-size:]
@@ -129,7 +126,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
     if not len(x) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         odds = math.log((share + 1e-3) / (1 - share + 1e-3))
-        return (odds, 0.0, 0.0, 0.0, 0.0), (0.0,) * 4, (1.0,) * 4
+        return (odds, *(0.0,) * N_SAVINGS), (0.0,) * N_SAVINGS, (1.0,) * N_SAVINGS
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - means) / scales])
     w = np.zeros(z.shape[1])
@@ -154,20 +151,12 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return known.where(~held_out()).distinct()
 
 
-def at_usual_odds(model: Model, sampled: tuple[int, int], labelled: tuple[int, int]) -> Model:
-    """The model for the shares of the classes among all labels; it was fitted on other shares."""
-    if not all(sampled) or not all(labelled):
-        return model
-    shift = math.log(labelled[1] / labelled[0]) - math.log(sampled[1] / sampled[0])
-    return replace(model, weights=(model.weights[0] + shift, *model.weights[1:]))
-
-
 def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(text, toxic) of at most PER_CLASS rows of each class."""
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for y in (0, 1)]
     picked = stored(parts[0].unionByName(parts[1]), "labelled")
     rows = doc_texts(docs).join(F.broadcast(picked), "doc_id")  # at most 2 * PER_CLASS ids
-    return rows.where(F.octet_length("text") <= FIT_BYTES).orderBy("doc_id", "text").select("text", "toxic").limit(4 * PER_CLASS)
+    return rows.where(F.octet_length("text") <= FIT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(4 * PER_CLASS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,10 +165,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels of both classes the score is the share of toxic labels, or near 0 without any.
     """
     known = known_labels(labels)
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two classes
     rows = list(dict.fromkeys((r["text"], r["toxic"]) for r in training_rows(docs, known).collect()))
-    sampled = tuple(sum(y == c for _, y in rows) for c in (0, 1))
-    model = at_usual_odds(fit(rows), sampled, (counts.get(0, 0), counts.get(1, 0)))
+    model = fit(rows)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -222,3 +223,41 @@ def test_every_query_of_the_folder_runs_and_agrees_with_sql(spark):
 def test_listed_spans_hash(spark):
     row = queries.op8_secrets(spark, FOLDER).where("spans = ''").first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_repeats_go_by_row_where_ids_are_shared(spark):
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" + "." * (k % 9 == 8) for k in range(n))
+
+    shared, alone, more = prose(60), prose(60), prose(60)
+    docs = table(spark, [shared + " " + prose(20), alone, shared, more, more], [7, 7, 1, None, None])
+    out = sorted((str(r["doc_id"]), len(r["text"])) for r in sentences.without_repeats(docs).collect())
+    assert ("7", len(alone)) in out and ("1", len(shared)) in out
+    assert min(n for d, n in out if d == "7") < 260  # the shared passage goes from the other row
+    assert sorted(n for d, n in out if d == "None") == [0, len(more)]
+    spans = sentences.repeated_spans(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in spans) == ["7", "None"]
+
+
+def test_toxicity_equals_a_plain_reading(spark):
+    """Scores again from the savings of each window, and held-out accuracy on the given documents."""
+    folder = "/root/testdata/sf0.01"
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = {r["doc_id"]: r for r in toxicity.toxicity(docs, marks).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    fitted = list(dict.fromkeys((r["text"], r["toxic"]) for r in toxicity.training_rows(docs, toxicity.known_labels(marks)).collect()))
+    model = toxicity.fit(fitted)
+    machines = [toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic)]
+    for doc in list(texts)[:80]:
+        raw = texts[doc].encode()
+        pieces = [raw[at : at + 64] for at in range(0, max(1, len(raw) - 16), 48)] if raw else []
+        saved = sorted((len(machines[0].compress(p)) - len(machines[1].compress(p)) for p in pieces), reverse=True) or [0]
+        large = sum(v for v in saved if v > 3)
+        x = (saved[0], sum(saved[:3]) / 3, sum(saved) / len(saved), large / len(saved) ** 0.5, np.log1p(large))
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.means, model.scales))
+        assert abs(out[doc]["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    held = [(out[r["doc_id"]]["score"], r["toxic"]) for r in marks.collect() if r["doc_id"] in out and out[r["doc_id"]]["held_out"]]
+    clean, bad = ([s for s, y in held if y == k] for k in (0, 1))
+    assert sum(a > b for a in bad for b in clean) > 0.75 * len(bad) * len(clean)
