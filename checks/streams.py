@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.functions import normal_sql, origin_sql
 from checks.registry import check
 from linkloom.sources.shop_graph import read, requests, shop_graph
-from linkloom.streaming import admission
+from linkloom.session import shared_dir
+from linkloom.streaming import admission, keyed
 
 DAY = 86_400_000
 COOLDOWN = 6 * 3_600_000
@@ -102,6 +105,22 @@ def _(spark, d):
     return decided(spark, d).select("request_id", "failed", "accepted")
 
 
+@check("stream_t03_keyed_state", _ADMIT + " SELECT request_id, failed, failed IS NULL AS accepted FROM done")
+def _(spark, d):
+    """The same decisions by the stream with keyed state, over three micro-batches in the order of time."""
+    folder = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    rows = requests(spark, d)
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    part = F.floor((F.col("ts") - low) * 3 / (high - low + 1))
+    for k in range(3):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    done = keyed.admission_stream(stream, known_users(spark, d), limit=2, window_ms=DAY, cooldown_ms=COOLDOWN)
+    sink = done.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    sink.start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("request_id", "failed", "accepted")
+
+
 @check(
     "stream_t06_status_codes",
     _ADMIT + """ SELECT status, count(*) AS n FROM (SELECT CASE failed WHEN 'origin' THEN 403 WHEN 'verified' THEN 401
