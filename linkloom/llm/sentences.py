@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import doc_texts, same_key, stored
@@ -119,38 +119,41 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def _spans(rows: DataFrame, who: list[str]) -> DataFrame:
     own = [(name, pa.int64()) for name in who]
-    # a run's first and last clause in one number, and its first and last character
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *own, ("clauses", pa.int64()), ("chars", pa.int64())])
+    places = ("first", "last", "start", "end")
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *own, *((p, pa.int32()) for p in places)])
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            counts, keys, clauses, chars = [], [], [], []
+            counts, found = [], []
             for text in batch.column(0):
-                n = len(clauses)
-                for first, last, start, end, key in runs(text.as_py()):
-                    keys.append(key)
-                    clauses.append(first << 32 | last)
-                    chars.append(start << 32 | end)
-                counts.append(len(clauses) - n)
+                n = len(found)
+                found += runs(text.as_py())
+                counts.append(len(found) - n)
+            *at, keys = zip(*found) if found else [()] * 5
             halves = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
             row = pa.array(np.repeat(np.arange(len(counts)), counts))
             names = [batch.column(1 + k).take(row) for k in range(len(who))]
             columns = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *names]
-            columns += [pa.array(clauses, pa.int64()), pa.array(chars, pa.int64())]
+            columns += [pa.array(p, pa.int32()) for p in at]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    spans = rows.select("text", *who).mapInArrow(cut, ", ".join(f"{f.name} long" for f in schema))
+    spans = rows.select("text", *who).mapInArrow(cut, ", ".join(f"{f.name} {'int' if f.name in places else 'long'}" for f in schema))
     spans = stored(spans, "runs")
-    place = F.struct(*who, "clauses")
+    place = F.struct(*who, "first")
     keepers = spans.groupBy("h1", "h2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     keepers = stored(keepers, "keepers")  # both sides then come by an exchange, so a hot passage's side can be split
-    again = spans.join(keepers.drop("n"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper")))
-    return merged(again.select(
-        *who,
+
+    def pair(a: str, b: str) -> Column:  # shorter rows for the exchange
+        return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b))
+
+    narrow = spans.select("h1", "h2", *who, pair("first", "last").alias("clauses"), pair("start", "end").alias("chars"))
+    whole = narrow.join(keepers.drop("n"), ["h1", "h2"]).select(
+        *who, "keeper",
         F.shiftright("clauses", 32).cast("int").alias("first"), F.col("clauses").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"),
         F.shiftright("chars", 32).cast("int").alias("start"), F.col("chars").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"),
-        F.col("keeper.doc_id").alias("by"),
-    ), who)
+    )
+    again = whole.where(~place.eqNullSafe(F.col("keeper")))
+    return merged(again.select(*who, *places, F.col("keeper.doc_id").alias("by")), who)
 
 
 def merged(spans: DataFrame, who: list[str]) -> DataFrame:
