@@ -147,7 +147,10 @@ def _spans(rows: DataFrame, who: list[str]) -> DataFrame:
         return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b))
 
     narrow = spans.select("h1", "h2", *who, pair("first", "last").alias("clauses"), pair("start", "end").alias("chars"))
-    whole = narrow.join(keepers.drop("n"), ["h1", "h2"]).select(
+    # Spark filters the large side before its exchange by a Bloom filter of the keepers, of at most 8 MB
+    for name, value in (("creationSideThreshold", "1TB"), ("applicationSideScanSizeThreshold", "0")):
+        rows.sparkSession.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
+    whole = narrow.join(keepers.where("n > 1").drop("n"), ["h1", "h2"]).select(
         *who, "keeper",
         F.shiftright("clauses", 32).cast("int").alias("first"), F.col("clauses").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"),
         F.shiftright("chars", 32).cast("int").alias("start"), F.col("chars").bitwiseAND(0xFFFFFFFF).cast("int").alias("end"),
