@@ -244,7 +244,11 @@ _BOTH_ENDS = """SELECT e.src, e.dst, ts AS date, s.post_date, s.title, s.descrip
 _BOTH_COLS = ("src", "dst", "date", "post_date", "title", "description", "o_title", "o_description")
 
 
-@check("join_j02_attributes_of_both_ends", _BOTH_ENDS.format("kind <> 'term'"))
+@check(
+    "join_j02_attributes_of_both_ends",
+    "WITH p AS MATERIALIZED (SELECT uri, post_date, title, description FROM lg_pages) "
+    + _BOTH_ENDS.format("kind <> 'term'").replace("lg_pages", "p"),
+)
 def _(spark, d):
     g = shop_graph(spark, d)
     s = spec("pages", "linked", s="example")
@@ -309,9 +313,11 @@ def _(spark, d):
 
 @check(
     "join_j10_mutual_mention",
-    """WITH e AS (SELECT src, dst FROM page_edges UNION ALL
-                 SELECT dst, src FROM page_edges WHERE src LIKE '%7')
-       SELECT e.src, e.dst FROM e JOIN e f ON e.src = f.dst AND e.dst = f.src""",
+    """WITH one AS MATERIALIZED (SELECT src, dst FROM page_edges),
+            e AS MATERIALIZED (SELECT src, dst FROM one UNION ALL
+                 SELECT dst, src FROM one WHERE src LIKE '%7'),
+            turned AS MATERIALIZED (SELECT src || ' ' || dst AS pair FROM e)
+       SELECT src, dst FROM e JOIN turned ON dst || ' ' || src = pair""",
 )
 def _(spark, d):
     from linkloom.operators.trust import mutual_links

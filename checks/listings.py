@@ -185,9 +185,9 @@ def _(spark, d):
 
 @check(
     "get_g11_backlinks",
-    """SELECT src, dst, s.title AS src_title, s.description AS src_description, o.title AS dst_title,
-       o.description AS dst_description FROM page_edges LEFT JOIN lg_pages s ON src = s.uri
-       LEFT JOIN lg_pages o ON dst = o.uri""",
+    """WITH p AS MATERIALIZED (SELECT uri, title, description FROM lg_pages)
+       SELECT src, dst, s.title AS src_title, s.description AS src_description, o.title AS dst_title,
+       o.description AS dst_description FROM page_edges LEFT JOIN p s ON src = s.uri LEFT JOIN p o ON dst = o.uri""",
 )
 def _(spark, d):
     return listings.backlinks(shop_graph(spark, d))
@@ -208,9 +208,11 @@ def _(spark, d):
 
 @check(
     "get_g14_ring_profile",
-    f"""SELECT m.ring, p.title AS ring_title, p.description AS ring_description, p.image AS ring_image, origin,
-        o.title, o.description, o.image FROM lg_ring_members m JOIN lg_pages p ON m.ring = p.uri
-        LEFT JOIN lg_pages o ON origin = o.uri WHERE m.ring = '{RING}'""",
+    f"""WITH known AS MATERIALIZED (SELECT uri, title, description, image FROM lg_pages),
+        m AS MATERIALIZED (SELECT ring, origin FROM lg_ring_members WHERE ring = '{RING}')
+        SELECT m.ring, p.title AS ring_title, p.description AS ring_description, p.image AS ring_image, origin,
+        o.title, o.description, o.image FROM m JOIN known p ON m.ring = p.uri
+        LEFT JOIN known o ON origin = o.uri""",
 )
 def _(spark, d):
     return listings.ring_profile(shop_graph(spark, d), RING)
