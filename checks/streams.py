@@ -10,7 +10,7 @@ from checks.functions import normal_sql, origin_sql
 from checks.registry import check
 from linkloom.sources.shop_graph import read, requests, shop_graph
 from linkloom.session import shared_dir
-from linkloom.streaming import admission, keyed
+from linkloom.streaming import admission, keyed, late
 
 DAY = 86_400_000
 COOLDOWN = 6 * 3_600_000
@@ -136,3 +136,64 @@ def _(spark, d):
 )
 def _(spark, d):
     return requests(spark, d).select(admission.normalize("uri").alias("page")).distinct()
+
+
+# Six micro-batches: four parts of the time, and every ninth request two micro-batches later than the others of its time.
+# Rows are late from the watermark of the micro-batch before on, so the one that takes two of them into account is L.
+LATE_DELAY = 2 * 3_600_000
+_TIMED = f"""WITH RECURSIVE bounds AS (SELECT min(ts) AS low, max(ts) AS high FROM lg_requests),
+    rq AS (SELECT request_id, ts, {normal_sql('uri')} AS page,
+      (ts - low) * 4 // (high - low + 1) + CASE WHEN request_id % 9 = 0 THEN 2 ELSE 0 END AS b FROM lg_requests, bounds),
+    tops AS (SELECT b, max(ts) AS top FROM rq GROUP BY b),
+    marks AS (SELECT t.b, (SELECT max(u.top) FROM tops u WHERE u.b <= t.b - 2) - {LATE_DELAY} AS mark FROM tops t),
+    arrived AS (SELECT rq.*, coalesce(ts <= mark, FALSE) AS late FROM rq JOIN marks USING (b)),
+    timely AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY b, ts, request_id) AS pos
+      FROM arrived WHERE NOT late),
+    kept AS (SELECT page, pos, ts, request_id FROM timely WHERE pos = 1
+      UNION ALL SELECT n.page, n.nxt.pos, n.nxt.ts, n.nxt.request_id FROM (
+        SELECT k.page, min(struct_pack(pos := r.pos, ts := r.ts, request_id := r.request_id)) AS nxt
+        FROM kept k JOIN timely r ON r.page = k.page AND r.pos > k.pos AND r.ts >= k.ts + {COOLDOWN}
+        GROUP BY k.page) n),
+    judged AS (SELECT request_id, b, CASE WHEN late THEN 'late'
+      WHEN request_id IN (SELECT request_id FROM kept) THEN 'kept' ELSE 'repeated' END AS outcome FROM arrived)"""
+
+
+def judged_stream(spark, d):
+    """The requests of six files, in order, as judged by the stream, and its ledger."""
+    run = uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/late-{run}"
+    rows = requests(spark, d)
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    part = F.floor((F.col("ts") - low) * 4 / (high - low + 1)) + F.when(F.col("request_id") % 9 == 0, 2).otherwise(0)
+    for k in range(6):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ledger = late.Ledger(f"late-{run}")
+    spark.streams.addListener(ledger)
+    try:
+        sink = late.judged_requests(stream, COOLDOWN, f"{LATE_DELAY} milliseconds").writeStream.queryName(f"late-{run}")
+        sink = sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        sink.start(f"{folder}/out").awaitTermination()
+        lines = ledger.frame(spark)
+    finally:
+        spark.streams.removeListener(ledger)
+    return rows, spark.read.parquet(f"{folder}/out"), lines
+
+
+@check("stream_t08_outcomes", _TIMED + " SELECT request_id, outcome FROM judged")
+def _(spark, d):
+    """Each request as kept, repeated or late by the stream with keyed state and watermark."""
+    rows, judged, _ = judged_stream(spark, d)
+    missed = late.late_rows(rows, judged).select("request_id", F.lit("late").alias("outcome"))
+    return judged.select("request_id", "outcome").unionByName(missed)
+
+
+@check(
+    "stream_t08_ledger",
+    _TIMED + """ SELECT b AS batch, count(*) AS n_in, count(*) FILTER (outcome = 'kept') AS n_kept,
+       count(*) FILTER (outcome = 'repeated') AS n_repeated, count(*) FILTER (outcome = 'late') AS n_late
+       FROM judged GROUP BY b""",
+)
+def _(spark, d):
+    """What the listener counted per micro-batch."""
+    return judged_stream(spark, d)[2].drop("watermark")
