@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.sources.patterns import first_reason
+
 # --- fixed values: limits and patterns --------------------------------------------
 MAX_BYTES = 56 * 1024
 MAX_SELECTOR = 200
@@ -30,7 +32,10 @@ def selector_error(selector: Column) -> Column:
 
 
 def lint(df: DataFrame, col: str = "rule_set") -> DataFrame:
-    """Add ``reason``: the first thing wrong with each rule set, NULL when it is safe."""
+    """Add ``reason``: the first thing wrong with each rule set, NULL when it is safe.
+
+    A rule's pattern must compile and must not take exponential time, see `patterns`.
+    """
     parsed = df.withColumn("_set", F.from_json(F.col(col), _SHAPE))
     sections = F.map_values("_set.schema")
     rules = F.flatten(F.transform(sections, lambda s: F.coalesce(s["o"], F.array().cast("array<struct<selector:string,postProcess:struct<method:string,params:string>>>"))))
@@ -50,5 +55,8 @@ def lint(df: DataFrame, col: str = "rule_set") -> DataFrame:
         .when(crowded, "too many rules")
         .when(bad.isNotNull(), bad)
         .when(nested, "regex has nested quantifiers")
+        .otherwise(F.col("_pattern"))
     )
-    return parsed.withColumn("reason", reason).drop("_set")
+    patterns = F.transform(F.filter(rules, lambda r: r["postProcess"]["method"] == "regex"), lambda r: r["postProcess"]["params"])
+    parsed = parsed.withColumn("_pattern", first_reason(patterns))
+    return parsed.withColumn("reason", reason).drop("_set", "_pattern")
