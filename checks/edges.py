@@ -230,6 +230,52 @@ def _(spark, d):
     return listings.domain_pages_with(found, "Brand12")
 
 
+_NEEDLES = """SELECT 'c' || c_custkey || '.' AS needle FROM customer WHERE c_custkey % 3 = 1
+    UNION ALL SELECT 'o/' || c_custkey FROM customer WHERE c_custkey % 50 = 7"""
+
+
+def _needles(spark, d):
+    from linkloom.sources.shop_graph import read
+
+    key = F.col("c_custkey").cast("string")
+    customers = read(spark, d, "customer")
+    sites = customers.filter("c_custkey % 3 = 1").select(F.concat(F.lit("c"), key, F.lit(".")).alias("needle"))
+    return sites.unionByName(customers.filter("c_custkey % 50 = 7").select(F.concat(F.lit("o/"), key).alias("needle")))
+
+
+@check(
+    "pred_p02_needle_table",
+    f"""WITH n AS MATERIALIZED ({_NEEDLES}), u AS MATERIALIZED (SELECT DISTINCT src FROM lg_edges),
+        m AS MATERIALIZED (SELECT src FROM u WHERE EXISTS (SELECT 1 FROM n WHERE contains(src, needle)))
+        SELECT src, dst FROM lg_edges WHERE src IN (SELECT src FROM m)""",
+)
+def _(spark, d):
+    """Fuzzy subjects from a table that grows with the customers."""
+    edges = shop_graph(spark, d).edges
+    return filters.filter_by_needles(edges, include=_needles(spark, d), col="src").select("src", "dst")
+
+
+@check(
+    "pred_p15_needle_table",
+    """WITH n AS MATERIALIZED (SELECT '/p/' || p_partkey AS needle FROM part WHERE p_partkey % 4 = 1
+           UNION ALL SELECT 's' || s_suppkey || '.' FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT NULL),
+        u AS MATERIALIZED (SELECT DISTINCT dst FROM lg_edges WHERE kind = 'page'),
+        m AS MATERIALIZED (SELECT dst FROM u WHERE EXISTS (SELECT 1 FROM n WHERE contains(dst, needle)))
+        SELECT src, dst FROM lg_edges WHERE kind = 'page' AND dst NOT IN (SELECT dst FROM m)""",
+)
+def _(spark, d):
+    """Links to none of the pages that a table of parts and sites names."""
+    from linkloom.sources.shop_graph import read
+
+    parts = read(spark, d, "part").filter("p_partkey % 4 = 1").select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("needle"))
+    sites = read(spark, d, "supplier").filter("s_suppkey % 2 = 1").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".")).alias("needle")
+    )
+    needles = parts.unionByName(sites).unionByName(spark.range(1).select(F.lit(None).cast("string").alias("needle")))
+    edges = shop_graph(spark, d).edges.filter("kind = 'page'")
+    return filters.filter_by_needles(edges, exclude=needles).select("src", "dst")
+
+
 # --- joins -----------------------------------------------------------------------
 
 

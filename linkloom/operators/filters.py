@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.dates import DateRange
 from linkloom.functions.tags import fuzzy_tags
 from linkloom.graph import Graph
+from linkloom.operators.needles import with_needles, without_needles
 from linkloom.vocabulary import TERM_PATH
 
 
@@ -24,6 +25,13 @@ def ring_pages(graph: Graph, rings: Sequence[str]) -> DataFrame:
     return graph.origin_pages.join(members, "origin", "left_semi").select("page")
 
 
+def filter_by_needles(edges: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, col="dst") -> DataFrame:
+    """Fuzzy subjects (`col="src"`) or objects from tables of one text column, of any size."""
+    if include is not None:
+        edges = with_needles(edges, col, include)
+    return edges if exclude is None else without_needles(edges, col, exclude)
+
+
 def filter_subjects(df: DataFrame, graph: Graph, mode: str, include, exclude, col="src") -> DataFrame:
     subject = F.col(col)
     if include:
