@@ -123,6 +123,18 @@ def parse_range(text: str | None, now_ms: int | None = None) -> DateRange:
     raise ValueError(RANGE_HELP)
 
 
+def exact_range_text(bounds: DateRange | None) -> str:
+    """The inverse of parse_range: days where the bounds are days, else milliseconds."""
+    if not bounds:
+        return ""
+    given = [b for b in (bounds.after, bounds.before) if b is not None]
+    if all(b % DAY_MS == 0 for b in given):
+        return range_text(bounds)
+    if len(given) == 2:
+        return f"between-{bounds.after}-and-{bounds.before}"
+    return f"after-{bounds.after}" if bounds.after is not None else f"before-{bounds.before}"
+
+
 def range_text(bounds: DateRange | None) -> str:
     """The inverse of parse_range, at day precision."""
     if not bounds:
