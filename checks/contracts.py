@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.harvest import _TITLE, _filled, pages, shown
@@ -14,6 +15,7 @@ from linkloom.client import LinkGraph
 from linkloom.functions.dates import ms, parse_range
 from linkloom.functions.safety import clean_inputs
 from linkloom.operators.store import GraphStore
+from linkloom.plans.saved import with_options
 from linkloom.plans.spec import QuerySpec, spec_error
 from linkloom.session import shared_dir
 from linkloom.sinks.projection import load_resolver, project
@@ -181,6 +183,51 @@ def _(spark, d):
     return page_ids(found["results"]).distinct().select("src", F.lit(explained).alias("explained"))
 
 
+def _part_spec(key: int, brand: str, kind: str, day: str) -> str:
+    """The spec that a part saves: by its brand, exact, with relationship terms, or broken."""
+    site = f"https://s{key}.example"
+    asked = (
+        ("thorped", {"o": brand, "created": f"after-{day}"}),
+        ("linked", {"s": site, "o": kind, "match": "exact"}),
+        ("cited", {"s": site, "rt": kind, "indexed": f"before-{day}"}),
+        ("posted", {"s": site, "when": f"between-{day}-and-2024-01-01", "limit": str(key % 7 + 1)}),
+    )
+    by, options = asked[key % 5 % 4]
+    saved = QuerySpec.build("pages", by, instance=INSTANCE, **options).to_dict()
+    return json.dumps({**saved, "subjects": {**saved["subjects"], "include": site}} if key % 5 == 4 else saved)
+
+
+_PART_SPECS = """SELECT p_partkey, p_partkey % 5 AS k, replace(p_brand, '#', '') AS brand, lower(p_type) AS kind,
+    'https://s' || p_partkey || '.example' AS site, CAST(DATE '2001-01-01' + CAST(p_partkey % 300 AS INTEGER) AS VARCHAR) AS day FROM part"""
+
+
+@check(
+    "spec_table",
+    f"""SELECT p_partkey, CASE WHEN k = 4 THEN 'subjects.include: expected a list' END AS error,
+        CASE k WHEN 0 THEN 'Get links thorped to ' || brand WHEN 1 THEN 'Get links linked from ' || site || ' to ' || kind
+          WHEN 2 THEN 'Get links cited from ' || site WHEN 3 THEN 'Get links posted from ' || site END AS title,
+        CASE k WHEN 0 THEN 'thorped' WHEN 1 THEN 'linked' WHEN 2 THEN 'cited' WHEN 3 THEN 'posted' END AS asked_by,
+        CASE WHEN k IN (1, 2, 3) THEN site END AS s, CASE k WHEN 0 THEN brand WHEN 1 THEN kind END AS o,
+        CASE k WHEN 1 THEN 'exact' END AS how, CASE k WHEN 2 THEN kind END AS rt,
+        CASE k WHEN 0 THEN 'after-' || day END AS created, CASE k WHEN 2 THEN 'before-' || day END AS indexed,
+        CASE k WHEN 3 THEN 'between-' || day || '-and-2024-01-01' END AS posted,
+        CASE WHEN k = 3 THEN CAST(p_partkey % 7 + 1 AS VARCHAR) WHEN k < 3 THEN '100' END AS row_limit FROM ({_PART_SPECS})""",
+)
+def _(spark, d):
+    """One saved spec per part, checked and turned back into its options, field by field."""
+
+    @F.pandas_udf("string")
+    def save(key: pd.Series, brand: pd.Series, kind: pd.Series, day: pd.Series) -> pd.Series:
+        return pd.Series([_part_spec(*row) for row in zip(key, brand, kind, day)], dtype=object)
+
+    day = F.date_add(F.lit("2001-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")).cast("string")
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    saved = read(spark, d, "part").select("p_partkey", save("p_partkey", brand, F.lower("p_type"), day).alias("spec"))
+    names = {"s": "s", "o": "o", "how": "match", "rt": "rt", "created": "created", "indexed": "indexed", "posted": "when", "row_limit": "limit"}
+    options = [F.col("asked.options")[theirs].alias(ours) for ours, theirs in names.items()]
+    return with_options(saved).select("p_partkey", "asked.error", "asked.title", F.col("asked.by").alias("asked_by"), *options)
+
+
 # --- publishers and clients --------------------------------------------------------------
 
 _CARD = {"label": {"from": ["title", "uri"], "required": True}, "link": {"from": "uri", "required": True}}
