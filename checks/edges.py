@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from linkloom.functions.dates import DateRange
 from linkloom.functions.tags import fuzzy_tags
-from linkloom.operators import filters, listings, pages, terms
+from linkloom.operators import filters, ingest, listings, pages, terms
 from linkloom.operators.pages import edge_rows, get_pages, linked_rows, matching_edges
 from linkloom.operators.terms import get_terms
 from linkloom.plans.spec import QuerySpec
@@ -304,13 +304,13 @@ def _(spark, d):
 @check("join_j03_semi", "SELECT uri FROM lg_pages WHERE uri IN (SELECT dst FROM lg_edges)")
 def _(spark, d):
     g = shop_graph(spark, d)
-    return g.pages.join(g.edges, F.col("uri") == F.col("dst"), "left_semi").select("uri")
+    return ingest.existing(g.pages, g.edges.select(F.col("dst").alias("uri")), ["uri"]).select("uri")
 
 
 @check("join_j04_anti", "SELECT uri FROM lg_pages WHERE uri NOT IN (SELECT src FROM lg_edges)")
 def _(spark, d):
     g = shop_graph(spark, d)
-    return g.pages.join(g.edges, F.col("uri") == F.col("src"), "left_anti").select("uri")
+    return ingest.new_rows(g.pages, g.edges.select(F.col("src").alias("uri")), ["uri"]).select("uri")
 
 
 @check(
