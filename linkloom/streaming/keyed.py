@@ -1,9 +1,11 @@
-"""Request admission as a stream with keyed state: one small state per origin and per page, expired by event time.
+"""Request admission as a stream with keyed state: one small value per origin and per page, expired by event time.
 
 The rules and their order are those of `admission.admit`. A rate window is the time it opened at and the quota used; a
-cooldown is the time of the last accepted request. Each has a timer at the first moment when no request can depend on it
-any more, and goes when the watermark passes that. So state grows with the keys seen within a window and the watermark's
-delay, and a micro-batch touches only the keys it holds.
+cooldown is the time of the last accepted request. Each goes when the watermark has passed the last moment at which a
+request can depend on it. So state grows with the keys seen within a window and the watermark's delay.
+
+The values lie in hash buckets of keys (`buckets`), as a call per key costs several milliseconds. A micro-batch reads and
+writes only the buckets of its keys.
 
 Requests count in the order of ts and request_id within a micro-batch. With micro-batches in the order of ts the decisions
 are those of the batch operator; a request older than its key's window counts in that window. Rows later than the
@@ -31,60 +33,60 @@ from linkloom.streaming.admission import (
     reason_text,
     status_code,
 )
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from linkloom.streaming.buckets import ROCKSDB, Bucket, bucket_schema, by_bucket, first_values, stretches
 
 
 class _Keyed(StatefulProcessor):
-    """A value per key with a timer that clears it; rows that failed before pass through."""
+    """The values of a bucket's keys, each there until the watermark passes its last moment; rows that failed before pass through."""
 
-    name, schema = "", ""
+    name, fields = "", {}
+
+    @property
+    def schema(self) -> str:
+        """The newest value's time, which the bucket's timer follows, and the keys with their values."""
+        return bucket_schema("start", self.fields)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState(self.name, self.schema)
+        self.held = Bucket(handle, self.name, self.schema, lambda value: self.last_moment(value) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"], ignore_index=True)
-        asked = pdf["failed"].isna().to_numpy()
-        if asked.any():
-            held = self.held.get() if self.held.exists() else None
-            now, refused = self.decide(held, pdf.loc[asked, "ts"].to_numpy(np.int64))
-            failed = pdf["failed"].to_numpy(object)
-            failed[np.flatnonzero(asked)[refused]] = self.name
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["state_key", "ts", "request_id"], ignore_index=True)
+        asked = np.flatnonzero(pdf["failed"].isna().to_numpy())
+        if len(asked):
+            values = self.held.get()
+            ts, failed = pdf["ts"].to_numpy(np.int64)[asked], pdf["failed"].to_numpy(object)
+            changed = False
+            for name, at, end in stretches(pdf["state_key"].to_numpy(object)[asked]):
+                before = values.get(name)
+                now, refused = self.decide(before, ts[at:end])
+                failed[asked[at:end][refused]] = self.name
+                if now != before:
+                    values[name], changed = now, True
             pdf["failed"] = failed
-            if now != held:
-                self.keep(now)
-        yield pdf
+            if changed:
+                self.held.put(values, timerValues.getCurrentWatermarkInMs())
+        yield pdf.drop(columns="state_key")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists() and self.last_moment(self.held.get()) < expiredTimerInfo.getExpiryTimeInMs():
-            self.held.clear()
+        self.held.expire(timerValues.getCurrentWatermarkInMs())
         yield from ()
 
-    def keep(self, state: tuple) -> None:
-        """Put the state in place of the one before and its timer in place of the timers before."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.held.update(state)
-        self.handle.registerTimer(self.last_moment(state) + 1)
-
     def close(self) -> None:
         pass
 
     def decide(self, held: tuple | None, ts: np.ndarray) -> tuple[tuple, np.ndarray]:
-        """The state after requests at the times `ts`, in order, and which of them are refused."""
+        """The value after requests at the times `ts`, in order, and which of them are refused."""
         raise NotImplementedError
 
     def last_moment(self, state: tuple) -> int:
-        """The last time at which a request depends on the state."""
+        """The last time at which a request depends on the value."""
         raise NotImplementedError
 
 
 class RateWindows(_Keyed):
     """The first `limit` requests of a window pass; the next window opens at the first request after its end."""
 
-    name, schema = "rate", "start long, used int"
+    name, fields = "rate", {"start": "long", "used": "int"}
 
     def __init__(self, window_ms: int, limit: int):
         self.window_ms, self.limit = window_ms, limit
@@ -109,7 +111,7 @@ class RateWindows(_Keyed):
 class Cooldowns(_Keyed):
     """A request is accepted when the last accepted one of its key is `cooldown_ms` old."""
 
-    name, schema = "cooldown", "start long"
+    name, fields = "cooldown", {"start": "long"}
 
     def __init__(self, cooldown_ms: int):
         self.cooldown_ms = cooldown_ms
@@ -129,7 +131,9 @@ class Cooldowns(_Keyed):
         return state[0] + self.cooldown_ms - 1
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.keep((int(initialState["start"].iloc[0]),))
+        for names, starts in zip(initialState["state_key"], initialState["start"]):
+            values = {name: (int(start),) for name, start in zip(names, starts)}
+            self.held.put(self.held.get() | values, timerValues.getCurrentWatermarkInMs())
 
 
 def admission_stream(
@@ -158,7 +162,7 @@ def admission_stream(
     ruled = rated.withColumn("failed", F.when(F.col("failed").isNull() & ~F.col("rules_ok"), "rules").otherwise(F.col("failed")))
     before = graph.pages.filter("indexed IS NOT NULL").groupBy(F.col("uri").alias("state_key")).agg(F.max("indexed").alias("start"))
     cooled = _through(
-        ruled.withColumn("state_key", F.coalesce("page", alone)), Cooldowns(cooldown_ms), before.groupBy("state_key")
+        ruled.withColumn("state_key", F.coalesce("page", alone)), Cooldowns(cooldown_ms), first_values(before, "state_key", "start")
     )
     return cooled.select(
         *requests.columns, "page", "origin", F.col("failed").isNull().alias("accepted"), "failed",
@@ -170,6 +174,6 @@ def _through(rows: DataFrame, processor: _Keyed, before=None) -> DataFrame:
     out = StructType([f for f in rows.schema.fields if f.name != "state_key"])
     for field in out.fields:
         field.nullable, field.metadata = True, {}
-    return rows.groupBy("state_key").transformWithStateInPandas(
+    return by_bucket(rows, "state_key").transformWithStateInPandas(
         processor, out, "Append", "EventTime", initialState=before, eventTimeColumnName="event_time"
     )
