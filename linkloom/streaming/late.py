@@ -2,8 +2,8 @@
 
 A request repeats the last kept one of its page when it comes less than `span_ms` after it, in event time, or before it.
 Requests count in the order of the micro-batches, and of ts and request_id within one. A row without a time or a page has
-nothing to repeat and is kept. The state of a page is the time of its last kept request and goes when the watermark
-passes the end of its span, as no later row can depend on it.
+nothing to repeat and is kept. The state of a page is the time of its last kept request and goes once the watermark has
+passed the end of its span, as no later row can depend on it. Pages share the calls to the state store by buckets.
 
 Spark drops rows that are older than the watermark before they reach the state. `Ledger` counts them: the rows of a
 micro-batch are observed before the state and after it, and what is missing is late. `late_rows` finds them.
@@ -24,49 +24,49 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from linkloom.functions.urls import normalize
-from linkloom.streaming.keyed import ROCKSDB
+from linkloom.streaming.buckets import ROCKSDB, Bucket, bucket_schema, by_bucket, stretches
 
 LEDGER = "batch long, watermark string, n_in long, n_kept long, n_repeated long, n_late long"
 KEPT, REPEATED = "kept", "repeated"
 
 
 class LastKept(StatefulProcessor):
-    """The time of a page's last kept request, with a timer at the end of its span."""
+    """The times of the last kept requests of a bucket's pages, each there to the end of its span."""
 
     def __init__(self, span_ms: int):
         self.span_ms = span_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ts long")
+        self.last = Bucket(handle, "last", bucket_schema("ts", {"ts": "long"}), lambda value: value[0] + self.span_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"], ignore_index=True)
-        outcome = np.full(len(pdf), REPEATED, object)
-        if pdf["ts"].isna().any() or pdf["page"].isna().any():
-            outcome[:] = KEPT
-        else:
-            self._walk(pdf["ts"].to_numpy(np.int64), outcome)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["page", "ts", "request_id"], ignore_index=True)
+        outcome = np.full(len(pdf), KEPT, object)
+        named = np.flatnonzero((pdf["ts"].notna() & pdf["page"].notna()).to_numpy())
+        if len(named):
+            values, changed = self.last.get(), False
+            ts, judged = pdf["ts"].to_numpy()[named].astype(np.int64), np.full(len(named), REPEATED, object)
+            for page, at, end in stretches(pdf["page"].to_numpy(object)[named]):
+                before = values.get(page)
+                last = self._walk(before and before[0], ts[at:end], judged[at:end])
+                if before is None or last != before[0]:
+                    values[page], changed = (last,), True
+            outcome[named] = judged
+            if changed:
+                self.last.put(values, timerValues.getCurrentWatermarkInMs())
         pdf["outcome"] = outcome
         yield pdf
 
-    def _walk(self, ts: np.ndarray, outcome: np.ndarray) -> None:
-        before = self.last.get()[0] if self.last.exists() else None
-        last, at = before, 0
-        if last is not None:
-            at = int(np.searchsorted(ts, last + self.span_ms))
+    def _walk(self, last: int | None, ts: np.ndarray, outcome: np.ndarray) -> int:
+        """Marks the kept ones of a page's sorted times and gives the last one, or the one before."""
+        at = 0 if last is None else int(np.searchsorted(ts, last + self.span_ms))
         while at < len(ts):
             outcome[at], last = KEPT, int(ts[at])
             at = max(at + 1, int(np.searchsorted(ts, last + self.span_ms)))
-        if last != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((last,))
-            self.handle.registerTimer(last + self.span_ms)
+        return last
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[0] + self.span_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
+        self.last.expire(timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def close(self) -> None:
@@ -76,11 +76,11 @@ class LastKept(StatefulProcessor):
 def judged_requests(requests: DataFrame, span_ms: int, delay: str = "10 minutes") -> DataFrame:
     """A stream of (request_id, ts, uri, …) → the rows that were in time, with page and outcome: kept or repeated.
 
-    A column of the name page, outcome or state_key is replaced. Rows of equal ts and request_id are taken one after the
+    A column of the name page, outcome or state_bucket is replaced. Rows of equal ts and request_id are taken one after the
     other, so the second of them repeats the first.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = requests.drop("outcome", "state_key").withColumn("page", normalize("uri"))
+    timed = requests.drop("outcome", "state_bucket").withColumn("page", normalize("uri"))
     timed = timed.withColumn("event_time", F.timestamp_millis("ts"))
     timed = timed.observe("arrived", F.count(F.lit(1)).alias("n")).withWatermark("event_time", delay)
     # a row with nothing to repeat has a key of its own and leaves no state
@@ -90,7 +90,7 @@ def judged_requests(requests: DataFrame, span_ms: int, delay: str = "10 minutes"
     out = StructType.fromJson(StructType(fields + [timed.schema["event_time"]]).jsonValue()).add("outcome", "string")
     for field in out.fields:
         field.nullable, field.metadata = True, {}
-    judged = timed.withColumn("state_key", key).groupBy("state_key").transformWithStateInPandas(
+    judged = by_bucket(timed, key).transformWithStateInPandas(
         LastKept(span_ms), out, "Append", "EventTime", eventTimeColumnName="event_time"
     )
     judged = judged.observe(
