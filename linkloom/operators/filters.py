@@ -69,6 +69,15 @@ def _object_test(graph: Graph, kind: str, mode: str, values: Sequence[str]) -> C
     return dst.isin(list(values))
 
 
+def named_objects(graph: Graph, kind: str, mode: str, values: Sequence[str]) -> list[str] | None:
+    """The only objects that edges chosen by these can have; None where they are matched by a part of their text."""
+    if not values or mode == "very-fuzzy" or (mode == "fuzzy" and kind != "termsOnly"):
+        return None
+    if kind == "termsOnly":
+        return term_uris(graph.instance, fuzzy_tags(values) if mode == "fuzzy" else values)
+    return list(values)
+
+
 def filter_object_class(edges: DataFrame, kind: str) -> DataFrame:
     """The kind column tells terms from pages, so no class join is needed."""
     if kind == "termsOnly":

@@ -12,6 +12,7 @@ from linkloom.operators.filters import (
     filter_relations,
     filter_subjects,
     in_range,
+    named_objects,
 )
 from linkloom.plans.spec import QuerySpec
 
@@ -82,15 +83,18 @@ def paged(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
-def attach_target(rows: DataFrame, graph: Graph, limit: int | None) -> DataFrame:
-    """Left join of the target's title, description and image."""
+def attach_target(rows: DataFrame, graph: Graph, limit: int | None, named: list[str] | None = None) -> DataFrame:
+    """Left join of the target's title, description and image; ``named`` are the only targets of the rows, if known."""
     target = graph.pages.select(
         F.col("uri").alias("dst"),
         F.col("title").alias("o_title"),
         F.col("description").alias("o_description"),
         F.col("image").alias("o_image"),
     )
-    if is_small(limit):
+    if named is not None:
+        # all rows of a named target share one join key: no exchange may bring them to one task
+        target = F.broadcast(target.filter(F.col("dst").isin(named)))
+    elif is_small(limit):
         # few rows were kept: reduce the page table by them instead of shuffling it
         target = target.join(F.broadcast(rows.select("dst").distinct()), "dst", "left_semi")
         target = F.broadcast(target)
@@ -109,7 +113,8 @@ def edge_rows(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFram
         )
     rows = newest_first(linked_rows(graph, spec, rt_scope), "src", "dst")
     rows = paged(rows, filt.limit, filt.offset)
-    return attach_target(rows, graph, filt.limit)
+    obj = spec.objects
+    return attach_target(rows, graph, filt.limit, named_objects(graph, obj.type, obj.mode, obj.include))
 
 
 def page_listing(rows: DataFrame) -> DataFrame:
