@@ -19,8 +19,17 @@ _RUNTIME = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
+# how finely a shuffle is cut before Spark joins its small parts again: a task's share must not grow with the tables
+SHUFFLE_PARTS = 480
+
+
+def fine_shuffles(spark: SparkSession) -> None:
+    """Cut each shuffle finely; adaptive execution puts small parts together by their measured size."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(SHUFFLE_PARTS))
+
 
 def configure(spark: SparkSession) -> SparkSession:
+    fine_shuffles(spark)
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
     return spark
