@@ -22,6 +22,7 @@ from linkloom.operators.pages import (
     posted_rows,
 )
 from linkloom.plans.spec import QuerySpec
+from linkloom.session import write_once
 
 CHUNK = 1000
 HEAD = ("title", "description", "image", "date", "post_date")
@@ -121,7 +122,8 @@ def discover(
     top = paged(pages.orderBy(dated.desc_nulls_last(), "uri"), limit, offset).select(
         F.col("uri").alias("id"), "title", "description", "image", F.col("created").alias("date"), "post_date"
     )
-    return annotations(graph, top, graph.edges, limit)
+    # the pages are found once, not again for each table that they are looked up in
+    return annotations(graph, write_once(top) if is_small(limit) else top, graph.edges, limit)
 
 
 def chunked(df: DataFrame, key: str, value: str, chunk: int = CHUNK) -> DataFrame:
