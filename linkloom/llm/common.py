@@ -6,28 +6,19 @@ input never clash with them. A null text counts as the empty text and a null id
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.session import shared_dir
+from linkloom.session import stored  # noqa: F401  (the operators of this folder take it from here)
 
 #: fixed values: the white space of every contract, as a Java character class
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back; later steps never recompute them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -49,3 +49,15 @@ def test_ten_thousand_needles_without_a_nested_loop(spark):
     named = {str(k * 7) for k in range(10_000)}
     want = {k for k in range(5_000) if any(str(k)[:n] in named for n in range(1, 5))}
     assert {r["id"] for r in found.collect()} == want
+
+
+def test_needles_of_frequent_pieces_meet_only_texts_that_hold_them(spark):
+    """Digits make every piece a piece of many texts; needles are looked up whole, not compared with all of those."""
+    texts = [f"https://s{k % 97}.example/p/{k * 31 % 10_007}😀" for k in range(3_000)]
+    needles = [f"/p/{k * 4 + 1}" for k in range(2_500)] + [f"s{k}." for k in range(1, 97, 2)] + ["0😀", "p", "7😀x", None]
+    found = with_needles(frame(spark, texts, "dst"), "dst", frame(spark, needles[:-3], "n"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(" not in plan and "nestedloop" not in plan
+    assert sorted(r["dst"] for r in found.collect()) == sorted(t for t in texts if any(n in t for n in needles[:-3]))
+    every = with_needles(frame(spark, texts, "dst"), "dst", frame(spark, needles, "n"))
+    assert every.count() == len(texts)
