@@ -22,11 +22,14 @@ _RUNTIME = {
 
 # how finely a shuffle is cut before Spark joins its small parts again: a task's share must not grow with the tables
 SHUFFLE_PARTS = 480
+# shuffled bytes that one task is given where Spark joins parts: rows of URIs and titles take ten times that and more in memory
+PART_BYTES = "8m"
 
 
 def fine_shuffles(spark: SparkSession) -> None:
     """Cut each shuffle finely; adaptive execution puts small parts together by their measured size."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(SHUFFLE_PARTS))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PART_BYTES)
 
 
 def configure(spark: SparkSession) -> SparkSession:
