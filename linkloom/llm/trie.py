@@ -23,9 +23,11 @@ from linkloom.llm.common import stored
 #: keys under one pair of nodes that a task may hold
 NODE_KEYS = 60_000
 #: keys a task walks at once, node pairs it holds at once, pairs of keys below which it compares them directly
-WALK_KEYS, FRONTIER, DIRECT = 100_000, 150_000, 48
+WALK_KEYS, FRONTIER, DIRECT = 50_000, 20_000, 48
+#: pairs of keys it compares at once
+PAIRS = 50_000
 #: bytes of keys and payloads a task walks at once, and pairs whose ragged payloads it compares at once
-WALK_BYTES, COSTLY = 64 << 20, 2_000
+WALK_BYTES, COSTLY = 16 << 20, 2_000
 STEP = 6
 #: rows that a row of a group is compared with before it is looked up which are still unconnected
 COMPARED = 16
@@ -113,17 +115,19 @@ def whole_groups(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
     held: list[pa.RecordBatch] = []
     size = weight = 0
     for batch in rows:
+        if not batch.num_rows:
+            continue
+        if size >= WALK_KEYS or weight >= WALK_BYTES:
+            # only the batch is looked at, with the row before it: a group may have many batches
+            seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]).select(list(names))
+            starts = _group_starts(seam, names)[1:] - 1
+            if len(starts):
+                cut = int(starts[0])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, size, weight, batch = [], 0, 0, batch.slice(cut)
         held.append(batch)
         size += batch.num_rows
         weight += batch.nbytes
-        if size < WALK_KEYS and weight < WALK_BYTES:
-            continue
-        table = pa.Table.from_batches(held)
-        groups = _group_starts(table, names)
-        if groups[-1]:
-            yield table.slice(0, groups[-1])
-            table = table.slice(groups[-1])
-        held, size, weight = table.combine_chunks().to_batches(), table.num_rows, table.nbytes
     if size:
         yield pa.Table.from_batches(held)
 
@@ -171,11 +175,10 @@ def walk(
     keys, item = keys[order], table.column("item").to_numpy()[order]
     payload = None
     if accept is not None:
-        raw = table.column("payload").to_pylist()
         if ragged:
-            payload = np.array([*raw, None], dtype=object)[:-1][order]
+            payload = np.array([*table.column("payload").to_pylist(), None], dtype=object)[:-1][order]
         else:
-            payload = np.frombuffer(b"".join(raw), np.uint8).reshape(len(keys), -1)[order]
+            payload = _fixed_bytes(table.column("payload"))[order]
     ends = np.append(starts[1:], len(keys))
     middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
     a, b = table.column("a").to_numpy()[starts], table.column("b").to_numpy()[starts]
@@ -198,6 +201,16 @@ def walk(
     return item[linked], item[label[linked]]
 
 
+def _fixed_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a column without nulls whose values are equally long, one row for each value."""
+    parts = []
+    for chunk in column.chunks:
+        starts = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, chunk.offset * 4)
+        data = np.frombuffer(chunk.buffers()[2], np.uint8)
+        parts.append(data[starts[0] : starts[-1]])
+    return np.concatenate(parts).reshape(len(column), -1)
+
+
 def _open(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that are not connected yet."""
     new = label[i] != label[j]
@@ -245,7 +258,7 @@ def _meet(first: np.ndarray, keys: np.ndarray, width: int, depth: int) -> Iterat
         stack += [(below[:, at : at + FRONTIER], level + 1) for at in range(0, below.shape[1], FRONTIER)]
 
 
-def _bounded(front: np.ndarray, most: int = 150_000) -> Iterator[np.ndarray]:
+def _bounded(front: np.ndarray, most: int = PAIRS) -> Iterator[np.ndarray]:
     """Cut into parts of at most `most` pairs of keys; one pair of nodes is cut by its left side."""
     if not front.shape[1]:
         return
