@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SCHEME = r"^([a-z][a-z0-9+.-]*):"
-_AUTHORITY = r"^https?://(?:[^/?#@]*@)?([^/?#]*)"
+_SITE = "(?s)^https?://."
+_USER = "^(https?://)[^@]*@"
+_DEFAULT_PORT = "(?s)^(https://.*):443$|^(http://.*):80$"
 _PATH = r"^https?://[^/?#]*([^?#]*)"
 
 
@@ -43,28 +45,27 @@ def _is_http(col: Column) -> Column:
     return F.startswith(col, F.lit("https:")) | F.startswith(col, F.lit("http:"))
 
 
-def _authority(uri: Column) -> Column:
-    """What stands between :// and the first of / ? #, without the user; empty for other forms.
+def _site(uri: Column) -> Column:
+    """http(s):// and lower-case host and port, without user and default port; NULL for other forms or no host.
 
-    Plain cuts, as this runs for every page and link; only a URI with an @ takes the pattern.
+    Plain cuts, as this runs for every page and link; only a host with an @ or a colon takes the patterns.
+    The URI stands here few times: Spark pushes filters to where a URI is put together, copies it to
+    each of these places and computes every copy.
     """
-    rest = (
-        F.when(F.startswith(uri, F.lit("https://")), F.substr(uri, F.lit(9)))
-        .when(F.startswith(uri, F.lit("http://")), F.substr(uri, F.lit(8)))
-        .when(uri.isNotNull(), "")
+    head = F.substring_index(uri, "/", 3)
+    for mark in "?#":
+        head = F.substring_index(head, mark, 1)
+    bare = F.regexp_replace(F.regexp_replace(head, _USER, "$1"), _DEFAULT_PORT, "$1$2")
+    marked = F.contains(head, F.lit("@")) | (F.locate(":", head, 7) > 0)
+    http = F.startswith(uri, F.lit("https://")) | F.startswith(uri, F.lit("http://"))
+    return F.when(marked, F.when(bare.rlike(_SITE), F.lower(bare))).when(
+        http & ~head.isin("https://", "http://"), F.lower(head)
     )
-    for mark in "/?#":
-        rest = F.substring_index(rest, mark, 1)
-    return F.when(F.contains(uri, F.lit("@")), F.regexp_extract(uri, _AUTHORITY, 1)).otherwise(rest)
 
 
 def host_port(col: Column | str) -> Column:
     """Lower-case host with its port, without the scheme's default port."""
-    uri = _c(col)
-    raw = F.lower(_authority(uri))
-    default = F.when(F.startswith(uri, F.lit("http:")), ":80$").otherwise(":443$")
-    named = F.contains(raw, F.lit(":"))
-    return _blank_to_null(F.when(named, F.regexp_replace(raw, default, "")).otherwise(raw))
+    return F.substring_index(_site(_c(col)), "//", -1)
 
 
 def host(col: Column | str) -> Column:
@@ -75,10 +76,9 @@ def origin(col: Column | str) -> Column:
     """Origin of a URI: scheme and host for http(s), the DID for at://, else the URI."""
     uri = _c(col)
     return (
-        F.when(F.startswith(uri, F.lit("https:")), F.concat(F.lit("https://"), host_port(uri)))
-        .when(F.startswith(uri, F.lit("http:")), F.concat(F.lit("http://"), host_port(uri)))
-        .when(scheme(uri) == "at", _blank_to_null(F.regexp_extract(uri, "^at://([^/]+)", 1)))
-        .when(scheme(uri).isNotNull(), uri)
+        F.when(_is_http(uri), _site(uri))
+        .when(F.startswith(uri, F.lit("at:")), _blank_to_null(F.regexp_extract(uri, "^at://([^/]+)", 1)))
+        .when(uri.rlike(_SCHEME), uri)
     )
 
 

@@ -82,6 +82,27 @@ def tag_edges(annotations: DataFrame, instance: str, now: Column) -> DataFrame:
     return tags.select("src", "dst", F.lit("term").alias("kind"), now.alias("ts"))
 
 
+def harvested_edges(annotations: DataFrame, instance: str, now: Column) -> DataFrame:
+    """The tag edges and the page edges of the mentions, found in one pass over the annotations."""
+    tag = F.col("kind") == "tag"
+    ends = annotations.filter("kind IN ('tag', 'mention')").select(
+        F.when(tag, F.col("src")).otherwise(deslash("src")).alias("src"),
+        F.when(tag, term_uri("dst", instance)).otherwise(F.col("dst")).alias("dst"),
+        F.when(tag, "term").otherwise("page").alias("kind"),
+    )
+    return ends.distinct().select("src", "dst", "kind", now.alias("ts"))
+
+
+def page_origins(sources: DataFrame) -> DataFrame:
+    """(origin, page) of every different ``src`` that has an origin.
+
+    The origin is exploded from an array of one: a filter of a plain column is pushed down, below the
+    grouping, where Spark computes the origin several times for each annotation.
+    """
+    pages = sources.distinct().select(F.explode(F.array(origin("src"))).alias("origin"), F.col("src").alias("page"))
+    return pages.filter("origin IS NOT NULL")
+
+
 def property_rows(harvested: DataFrame, now: Column) -> DataFrame:
     """Scalars of each harvested page: trimmed, blank ignored, bad dates ignored."""
 
@@ -141,11 +162,15 @@ def ingest(graph: Graph, harvested: DataFrame | Harvest, now_ms: int) -> dict[st
     if isinstance(harvested, Harvest):
         harvested, pairs = harvested.pages, harvested.pairs
     rows = annotation_rows(harvested)
-    pairs = mentions(rows) if pairs is None else pairs
+    if pairs is None:
+        pairs = mentions(rows)
+        found = harvested_edges(rows, instance, now)
+    else:
+        page_edges = pairs.select("src", "dst", F.lit("page").alias("kind"), now.alias("ts"))
+        found = tag_edges(rows, instance, now).unionByName(page_edges)
     no_text, no_date = F.lit(None).cast("string"), F.lit(None).cast("bigint")
 
-    page_edges = pairs.select("src", "dst", F.lit("page").alias("kind"), now.alias("ts"))
-    edges = new_rows(tag_edges(rows, instance, now).unionByName(page_edges), graph.edges, KEYS["edges"])
+    edges = new_rows(found, graph.edges, KEYS["edges"])
     relations = new_rows(
         pairs.select("src", "dst", "subtype", "terms", now.alias("created")), graph.relations, KEYS["relations"]
     )
@@ -167,8 +192,7 @@ def ingest(graph: Graph, harvested: DataFrame | Harvest, now_ms: int) -> dict[st
     )
     pages = property_rows(harvested, now).unionByName(new_rows(targets, graph.pages, KEYS["pages"]))
 
-    sources = edges.select(origin("src").alias("origin"), F.col("src").alias("page")).distinct()
-    origin_pages = new_rows(sources.filter("origin IS NOT NULL"), graph.origin_pages, KEYS["origin_pages"])
+    origin_pages = new_rows(page_origins(edges.select("src")), graph.origin_pages, KEYS["origin_pages"])
     origins = new_rows(
         origin_pages.select("origin").distinct().select(
             "origin", F.lit(True).alias("verified"), F.lit(False).alias("banned")
