@@ -121,6 +121,16 @@ def filter_objects(edges: DataFrame, graph: Graph, kind: str, mode: str, include
     return edges
 
 
+def relation_test(subtype: str = "", relation_terms: Sequence[str] = ()) -> Column:
+    """Whether a relationship has the subtype and one of the terms, as far as they are named."""
+    test = F.lit(True)
+    if subtype:
+        test = test & (F.col("subtype") == subtype)
+    if relation_terms:
+        test = test & F.arrays_overlap("terms", F.array(*[F.lit(t) for t in relation_terms]))
+    return F.coalesce(test, F.lit(False))
+
+
 def filter_relations(
     edges: DataFrame,
     graph: Graph,
@@ -136,17 +146,20 @@ def filter_relations(
     if not subtype and not relation_terms:
         return edges
     wanted = graph.relations
-    keys = ["src", "dst"]
     if subtype:
         wanted = wanted.filter(F.col("subtype") == subtype)
     if relation_terms:
         named = F.array(*[F.lit(t) for t in relation_terms])
         wanted = wanted.filter(F.arrays_overlap("terms", named))
-        if not subtype and rt_scope == "page":
-            keys = ["src"]
+    keys = ["src"] if relations_by_page(subtype, relation_terms, rt_scope) else ["src", "dst"]
     return edges.join(wanted.select(*keys), keys, "left_semi")
 
 
+def relations_by_page(subtype: str, relation_terms: Sequence[str], rt_scope: str) -> bool:
+    """Whether one relationship with the terms lets all links of its page through."""
+    return bool(relation_terms) and not subtype and rt_scope == "page"
+
+
 def in_range(df: DataFrame, bounds: DateRange, *cols: str) -> DataFrame:
     """Keep rows whose first non-null date lies in the range; undated rows drop out."""
     if not bounds:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.graph import Graph
@@ -72,6 +72,16 @@ def posted_rows(graph: Graph, spec: QuerySpec) -> DataFrame:
     return _dated_filters(rows, spec)
 
 
+def posted_test(spec: QuerySpec) -> Column:
+    """Whether a row of the page table is one of ``posted_rows``, as far as its subject is not asked for."""
+    filt = spec.filters
+    test = F.col("created").isNotNull()
+    for bounds, *cols in ((filt.when, "post_date", "created"), (filt.created, "created"), (filt.indexed, "indexed")):
+        if bounds:
+            test = test & bounds.holds(F.coalesce(*[F.col(c) for c in cols]))
+    return F.coalesce(test, F.lit(False))
+
+
 def newest_first(df: DataFrame, *ties: str) -> DataFrame:
     dated = F.coalesce(F.col("post_date"), F.col("date"))
     return df.orderBy(dated.desc_nulls_last(), *[F.col(t).asc_nulls_first() for t in ties])
