@@ -29,7 +29,7 @@ from linkloom.operators.pages import (
     posted_test,
 )
 from linkloom.plans.spec import QuerySpec
-from linkloom.session import write_once
+from linkloom.session import stored, write_once
 
 CHUNK = 1000
 HEAD = ("title", "description", "image", "date", "post_date")
@@ -158,8 +158,10 @@ def whole_objects(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> Data
     else:
         dated = filt.when or filt.created or filt.indexed
         chosen = linked_rows(graph, spec, rt_scope) if dated else matching_edges(graph, spec, rt_scope)
-        both = both.join(chosen.select("src"), "src", "left_semi")
-        pages = graph.pages
+        # found once and written, so that Spark knows their size: few are sent to the rows, which then need no shuffle
+        keys = stored(chosen.select("src").distinct(), "chosen")
+        both = both.join(keys, "src", "left_semi")
+        pages = graph.pages.join(keys, F.col("uri") == F.col("src"), "left_semi")
     test = relation_test(filt.subtype, filt.relation_terms)
     rows = _with_details(both, test, relations_by_page(filt.subtype, filt.relation_terms, rt_scope))
     if not filt.subtype and not filt.relation_terms:

@@ -70,3 +70,8 @@ def test_each_table_is_exchanged_once(spark, small):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_edges_of_few_pages_need_no_exchange(small):
+    plan = found(small, "cited", 0, o="b.example")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("LeftSemi") >= 2 and "SortMergeJoin [src" not in plan
