@@ -72,16 +72,21 @@ def posted_rows(graph: Graph, spec: QuerySpec) -> DataFrame:
     return _dated_filters(rows, spec)
 
 
-def posted_test(spec: QuerySpec) -> Column:
-    """Whether a row of the page table is one of ``posted_rows``, as far as its subject is not asked for."""
+def dated_test(spec: QuerySpec, date: str = "date") -> Column:
+    """What ``_dated_filters`` asks of a row, as a column."""
     filt = spec.filters
-    test = F.col("created").isNotNull()
-    for bounds, *cols in ((filt.when, "post_date", "created"), (filt.created, "created"), (filt.indexed, "indexed")):
+    test = F.lit(True)
+    for bounds, *cols in ((filt.when, "post_date", date), (filt.created, "created"), (filt.indexed, "indexed")):
         if bounds:
             test = test & bounds.holds(F.coalesce(*[F.col(c) for c in cols]))
     return F.coalesce(test, F.lit(False))
 
 
+def posted_test(spec: QuerySpec) -> Column:
+    """Whether a row of the page table is one of ``posted_rows``, as far as its subject is not asked for."""
+    return F.col("created").isNotNull() & dated_test(spec, "created")
+
+
 def newest_first(df: DataFrame, *ties: str) -> DataFrame:
     dated = F.coalesce(F.col("post_date"), F.col("date"))
     return df.orderBy(dated.desc_nulls_last(), *[F.col(t).asc_nulls_first() for t in ties])
@@ -169,8 +174,59 @@ def page_listing(rows: DataFrame) -> DataFrame:
     )
 
 
+def _place(rank: int) -> Column:
+    """Where a row stands in the listing, then which of its ends is meant."""
+    age = (-F.coalesce("post_date", "date")).alias("age")
+    return F.struct(age, "src", "dst", F.lit(rank).alias("rank"))
+
+
+def whole_listing(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
+    """``page_listing`` of all edge rows a spec selects, none of which a rank leaves out.
+
+    Only the places of the targets are exchanged, as the texts of a URI lie with its page, be it listed as
+    subject or as object. Both roles read the same rows, whose pages stay whole, so that Spark exchanges
+    edges and pages once for both.
+    """
+    filt, texts = spec.filters, ["title", "description", "image"]
+    scalars = ["post_date", *["created"] * bool(filt.created), *["indexed"] * bool(filt.indexed)]
+    pages = graph.pages.select("uri", F.struct(*texts, *scalars).alias("page"))
+    edges = dated_edges(graph, spec, rt_scope).select("src", "dst", "date").filter("src IS NOT NULL")
+    own = pages.join(edges, F.col("uri") == F.col("src"), "left")
+
+    def read(name: str) -> Column:
+        # in a lambda, as Spark would else prune the page to these fields where its texts are not needed
+        return F.transform(F.array("page"), lambda page: page[name])[0].alias(name)
+
+    own = own.select("uri", "page", "src", "dst", "date", *map(read, scalars))
+    listed = F.col("src").isNotNull() & dated_test(spec)
+    subject, target = (F.when(listed, _place(rank)) for rank in (0, 1))
+    end = F.struct(*[F.col("page")[t].alias(t) for t in texts], "date")
+    subjects = own.groupBy("uri").agg(
+        F.min(subject).alias("place"), F.min_by(end, subject).alias("end"), F.first("page").alias("page")
+    )
+    targets = own.groupBy(F.col("dst").alias("uri")).agg(F.min(target).alias("named"))
+    both = subjects.join(targets, "uri", "full").withColumn("key", F.least("place", "named"))
+    is_subject = F.col("key.rank") == 0
+    shown = {t: F.when(is_subject, F.col("end")[t]).otherwise(F.col("page")[t]).alias(t) for t in texts}
+    listing = both.filter("uri IS NOT NULL AND key IS NOT NULL").select(
+        "key",
+        F.when(is_subject, "subject").otherwise("object").alias("role"),
+        "uri",
+        shown["title"],
+        shown["description"],
+        F.when(is_subject, F.col("end.date")).alias("date"),
+        shown["image"],
+    )
+    return listing.orderBy("key").drop("key")
+
+
 def get_pages(graph: Graph, spec: QuerySpec, rt_scope: str = "page") -> DataFrame:
-    return page_listing(edge_rows(graph, spec, rt_scope))
+    spec.require_bounded()
+    obj, filt = spec.objects, spec.filters
+    ranked = filt.limit is not None or filt.offset
+    if ranked or obj.type == "none" or named_objects(graph, obj.type, obj.mode, obj.include) is not None:
+        return page_listing(edge_rows(graph, spec, rt_scope))
+    return whole_listing(graph, spec, rt_scope)
 
 
 def linkers(graph: Graph, url: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Page objects without a limit: the same rows as with one, from one exchange of each table."""
+"""Page objects and listings without a limit: the same rows as with one, from one exchange of each table."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from core_helpers import INSTANCE
 from linkloom.graph import SCHEMAS, Graph
 from linkloom.operators.page_objects import get_objects
+from linkloom.operators.pages import edge_rows, get_pages, page_listing
 from linkloom.plans.spec import QuerySpec
 
 A, B, T = "https://a.example/", "https://b.example/", INSTANCE + "~/"
@@ -75,3 +76,33 @@ def test_each_table_is_exchanged_once(spark, small):
 def test_edges_of_few_pages_need_no_exchange(small):
     plan = found(small, "cited", 0, o="b.example")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.count("LeftSemi") >= 2 and "SortMergeJoin [src" not in plan
+
+
+def listing_spec(by, **options):
+    options.pop("rt_scope", None)
+    return QuerySpec.build("pages", by, instance=INSTANCE, limit=0, **options)
+
+
+LISTED = [x for x in SPECS if x[0] != "posted"] + [
+    ("linked", {"s": "example", "created": "after-1970-01-01"}), ("linked", {"s": "example", "when": "after-1970-01-01", "indexed": "recent"})]
+
+
+@pytest.mark.parametrize("by,options", LISTED, ids=[f"{b} {o}" for b, o in LISTED])
+def test_listing_is_that_of_the_edge_rows(odd, by, options):
+    spec, scope = listing_spec(by, **options), options.get("rt_scope", "page")
+    got = [tuple(r) for r in get_pages(odd, spec, scope).collect()]
+    assert got == [tuple(r) for r in page_listing(edge_rows(odd, spec, scope)).collect()]
+
+
+def test_listing_exchanges_edges_and_pages_once(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = get_pages(small, listing_spec("linked", s="a.example"))
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+        rows.collect()
+        final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # edges and pages, planned for both roles and shared when run, and the places of the targets
+    assert sum("Exchange hashpartitioning" in line for line in plan) == 5
+    assert final.count("ReusedExchange") == 2
